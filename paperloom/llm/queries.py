@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from paperloom.llm.huffman import op3_huffman_ids
 from paperloom.llm.langid import op9_language_id
+from paperloom.llm.ngram_join import op6_ngram_jaccard
 from paperloom.llm.packing import op1_best_fit_packing
 from paperloom.llm.pii import op10_personal_data
 from paperloom.llm.quality import OP4_SQL, op4_adaptive_quality
 from paperloom.llm.separators import op2_separator_scan
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_separator_scan, op3_huffman_ids, op4_adaptive_quality, op9_language_id, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_separator_scan, op3_huffman_ids, op4_adaptive_quality, op6_ngram_jaccard, op9_language_id, op10_personal_data)}
 ORACLE_SQL = {"op4_adaptive_quality": OP4_SQL}
