@@ -1,10 +1,14 @@
-"""The registered queries over the tables, by name, with DuckDB SQL for each."""
+"""The registered queries over the tables, by name, with DuckDB SQL for each.
 
-from __future__ import annotations
+The tables stand in for the relations of shredded word-processing packages: documents and their
+lines for blocks, lineitem and orders for tables and rows, events for review changes,
+conversations for comment threads, pages for markup.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from paperloom.operators import QUERIES as _QUERIES
+from paperloom.operators import SQL as _SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(_QUERIES)
+ORACLE_SQL = dict(_SQL)
