@@ -37,8 +37,11 @@ def wire(prefix: str, number: Column, width: int = 4) -> Column:
 
 def roman(n: Column) -> Column:
     """Lower-case roman numeral of 1 to 3999."""
-    step = lambda state, vr: F.struct((state["n"] % vr[0]).alias("n"), F.concat(state["s"], F.repeat(F.lit(vr[1]), F.floor(state["n"] / vr[0]).cast("int"))).alias("s"))
-    return reduce(step, ROMAN, F.struct(n.cast("int").alias("n"), F.lit("").alias("s")))["s"]
+    left, parts = n.cast("int"), []
+    for value, sign in ROMAN:
+        parts.append(F.repeat(F.lit(sign), F.floor(left / value).cast("int")))
+        left = left % value
+    return F.concat(*parts)
 
 
 def letters(n: Column) -> Column:
