@@ -243,46 +243,56 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, len(rows))), pa.array(rows)], names=["grp", "cid"])
 
 
+def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair a lower bound of how much the sets differ, and whether they surely link.
+
+    A set bit is an odd number of differing shingles.  The estimate corrects for those that met
+    in one bit, and four standard deviations more must still be within the limit.
+    """
+    bits = np.full(len(i), BITMAP_BITS)
+    differ = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64)
+    for k in np.flatnonzero((100 - PERCENT) * both >= (100 + PERCENT) * differ).tolist():
+        size = min(len(maps[i[k]]), len(maps[j[k]]))
+        if size * 8 > BITMAP_BITS:
+            bits[k], differ[k] = size * 8, int(np.bitwise_count(folded(maps[i[k]], size) ^ folded(maps[j[k]], size)).sum())
+    likely = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-9))
+    high = likely * (1 + 4 * np.sqrt(2 / bits)) + 2
+    return differ, (100 - PERCENT) * both >= (100 + PERCENT) * high
+
+
 def _similar(whole: bool):  # noqa: ANN202
-    """From ``grp, n, cid, bitmap`` in this order the pairs ``a, b`` that may link; ``sure`` marks forest pairs. ``whole``: every pair, no forests."""
+    """From ``grp, n, cid, bitmap`` in this order the pairs ``a, b`` that may link; ``sure`` marks forest pairs. ``whole``: every pair, no forests.
+
+    A first pass over the pairs of a group grows the forest of sure pairs, a second one gives the
+    doubtful pairs between its trees.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, bool]] = set()
         for grp, n, cid, maps in _runs(batches):
             n = n.astype(np.int64)
-            rows = np.arange(len(grp))
             small = np.stack([folded(m, BITMAP_BITS // 8) for m in maps])
-            top = rows.copy()  # a row's tree
-            live, k = rows[:-1], 1
-            while len(live):
-                live = live[live + k < len(grp)]
-                live = live[(grp[live] == grp[live + k]) & (n[live + k] * PERCENT <= n[live] * 100)]
-                a, b = live, live + k
-                open_ = (top[a] != top[b]) & (cid[a] != cid[b])
-                a, b = a[open_], b[open_]
-                for at in range(0, len(a), 1 << 16):
-                    i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                    both = n[i] + n[j]
-                    differ = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64)
-                    may = (100 - PERCENT) * both >= (100 + PERCENT) * differ
-                    for x, y, s, d in zip(i[may].tolist(), j[may].tolist(), both[may].tolist(), differ[may].tolist(), strict=True):
-                        if top[x] == top[y]:
-                            continue
-                        size = min(len(maps[x]), len(maps[y]))
-                        if size * 8 > BITMAP_BITS:
-                            d = int(np.bitwise_count(folded(maps[x], size) ^ folded(maps[y], size)).sum())
-                            if (100 - PERCENT) * s < (100 + PERCENT) * d:
-                                continue
-                        sure = not whole and (100 - PERCENT) * s >= (100 + PERCENT) * d * 2
-                        p, q = int(cid[x]), int(cid[y])
-                        seen.add((p, q, sure) if p < q else (q, p, sure))
-                        if sure:
-                            old = top[y]
-                            lo = np.searchsorted(grp, grp[y])
-                            hi = np.searchsorted(grp, grp[y], side="right")
-                            part = top[lo:hi]
-                            part[part == old] = top[x]
-                k += 1
+            top = np.arange(len(grp))  # a row's tree
+            for forest in (False,) if whole else (True, False):
+                live, k = np.arange(len(grp) - 1), 1
+                while len(live):
+                    live = live[live + k < len(grp)]
+                    live = live[(grp[live] == grp[live + k]) & (n[live + k] * PERCENT <= n[live] * 100)]
+                    open_ = live[(top[live] != top[live + k]) & (cid[live] != cid[live + k])]
+                    for at in range(0, len(open_), 1 << 16):
+                        i = open_[at : at + (1 << 16)]
+                        j = i + k
+                        both = n[i] + n[j]
+                        differ, sure = _differ(small, maps, i, j, both)
+                        take = sure if forest else (100 - PERCENT) * both >= (100 + PERCENT) * differ
+                        for x, y in zip(i[take].tolist(), j[take].tolist(), strict=True):
+                            if top[x] != top[y]:
+                                p, q = sorted((int(cid[x]), int(cid[y])))
+                                seen.add((p, q, forest))
+                                if forest:
+                                    part = top[np.searchsorted(grp, grp[y]) : np.searchsorted(grp, grp[y], side="right")]
+                                    part[part == top[y]] = top[x]
+                    k += 1
             if len(seen) > 100_000:
                 yield _pairs(seen)
                 seen = set()
@@ -392,7 +402,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     links = verified.where("linked").select("a", "b")
     wrong = written(verified.where("not linked").join(first.where("sure"), ["a", "b"], "left_semi"), "wrong")
     if not wrong.isEmpty():
-        ends = wrong.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        near = roots(first.select("a", "b"))
+        bad = near.join(wrong.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+        ends = near.join(bad, "root", "left_semi").select(F.col("node").alias("cid"))
         groups = met.join(ends, "cid", "left_semi").select("grp").distinct()
         again = pairs(met.join(groups, "grp", "left_semi"), True).join(verified, ["a", "b"], "left_anti")
         links = links.unionByName(_verified(again, classes, docs, level).where("linked").select("a", "b"))
