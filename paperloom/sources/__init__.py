@@ -1 +1 @@
-"""Part of paperloom."""
+"""Readers of word-processing packages, and the sink that writes them back."""
