@@ -26,10 +26,10 @@ MIN_DOCUMENTS = 50
 SPREADS = 3
 #: Metric: the expression of its integer, the least spread that counts, whether low values fail too.
 METRICS = {
-    "symbols": ("n_symbols * 1000 div n_words", 50, False),
-    "dup_lines": ("n_dup_lines * 1000 div n_lines", 100, False),
-    "repeats": ("n_repeat_words * 1000 div n_words", 100, False),
-    "word_length": ("word_chars * 100 div n_words", 60, True),
+    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 50, False),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100, False),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100, False),
+    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 60, True),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
