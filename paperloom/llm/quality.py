@@ -99,10 +99,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     rows = written(measured(docs), "quality")
     bounds = written(fences(sketches(rows)), "fences")
     names = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
-    level = lambda k, on: bounds.where(F.col("level") == k).where(F.col("documents") >= (MIN_DOCUMENTS if k < 2 else 0)).select(*[F.col(c).alias(f"{c}_{k}") for c in on], *[F.col(n).alias(f"{n}_{k}") for n in names])
+    level = lambda k, on: bounds.where(F.col("level") == k).where(F.col("documents") >= MIN_DOCUMENTS).select(*[F.col(c).alias(f"{c}_{k}") for c in on], *[F.col(n).alias(f"{n}_{k}") for n in names])
     joined = rows.join(level(0, ["lang", "source"]), F.col("lang").eqNullSafe(F.col("lang_0")) & F.col("source").eqNullSafe(F.col("source_0")), "left")
-    joined = joined.join(level(1, ["lang"]), F.col("lang").eqNullSafe(F.col("lang_1")), "left").join(F.broadcast(level(2, []).limit(1)), how="left")
-    fence = lambda n: F.coalesce(*[F.col(f"{n}_{k}") for k in range(3)])
+    joined = joined.join(level(1, ["lang"]), F.col("lang").eqNullSafe(F.col("lang_1")), "left")
+    everywhere = bounds.where("level = 2").first()  # one row: the fences of all documents
+    fence = lambda n: F.coalesce(F.col(f"{n}_0"), F.col(f"{n}_1"), F.lit(everywhere and everywhere[n]))
     within = F.lit(True)
     for m, (e, _, _) in METRICS.items():
         value = F.expr(e)
