@@ -2,12 +2,14 @@
 
 A document's set holds its distinct shingles of ``WIDTH`` words; equal sets are one class.  All
 sets are kept in one global order: shingles that a count sketch of the whole corpus calls common
-come last, and within a level the hash decides.  Two sets that link must share one of the first
-``n - ceil(0.8 n) + 1`` shingles of either.
-
-1. Only shingles met in two such prefixes of similar length go on; each brings its classes
-   together, with a parity bitmap that bounds how much two sets differ.  A group yields a
-   spanning forest of its surely similar sets and every doubtful pair between its trees.
+come last, and within a level the hash decides.  Two sets that link must share
+``SHARED`` of the first ``n - ceil(0.8 n) + SHARED`` shingles of either, or all but a fifth of
+sets too small for that.
+
+1. Only shingles met in two such prefixes of similar length go on, and only classes with as many
+   of them as a link needs.  Each shingle brings its classes together, with a parity bitmap that
+   bounds how much two sets differ.  A group yields a spanning forest of its surely similar sets
+   and every doubtful pair between its trees.
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
@@ -33,14 +35,18 @@ WIDTH = 5
 PERCENT = 80
 #: Counters of the corpus sketch; its size is the same for any corpus.
 SKETCH_BITS = 17
-#: Least bits of a parity bitmap; a set of n shingles has the next power of two from n.
-BITMAP_BITS = 512
+#: Shingles that two linking sets share at least, in prefixes that are longer by one less.
+SHARED = 4
+#: Least bits of a parity bitmap; a set of n shingles has the next power of two from 2 n.
+BITMAP_BITS = 1024
 #: Classes of a group that are compared in one task; larger groups are split into pairs of blocks.
 BLOCK = 4096
 #: Sets of a prefix tree.
 TREE = 512
 #: Bits of the filter on documents whose sets are needed.
 FILTER_WORDS = 1 << 16
+#: Groups that a class names, the least ones, so that a pair of several groups is given once.
+FIRSTS = 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -117,7 +123,7 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    bits = max(BITMAP_BITS, 1 << (len(grams) - 1).bit_length())
+    bits = max(BITMAP_BITS, 1 << (2 * len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -186,7 +192,7 @@ def _prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
             for s in shingle_sets(part.column(0)):
                 if len(s):
                     n = len(s)
-                    take = n - -(-PERCENT * n // 100) + 1
+                    take = min(n, n - -(-PERCENT * n // 100) + SHARED)
                     keys.append(ordered(s, level)[:take])
                     names.append(np.full(take, class_of(s), dtype=np.int64))
                     sizes.append(np.full(take, n, dtype=np.int32))
@@ -247,7 +253,7 @@ def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, b
     """For each pair a lower bound of how much the sets differ, and whether they surely link.
 
     A set bit is an odd number of differing shingles.  The estimate corrects for those that met
-    in one bit, and four standard deviations more must still be within the limit.
+    in one bit; five standard deviations and three further meetings must still be within the limit.
     """
     bits = np.full(len(i), BITMAP_BITS)
     differ = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64)
@@ -255,23 +261,28 @@ def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, b
         size = min(len(maps[i[k]]), len(maps[j[k]]))
         if size * 8 > BITMAP_BITS:
             bits[k], differ[k] = size * 8, int(np.bitwise_count(folded(maps[i[k]], size) ^ folded(maps[j[k]], size)).sum())
-    likely = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-9))
-    high = likely * (1 + 4 * np.sqrt(2 / bits)) + 2
-    return differ, (100 - PERCENT) * both >= (100 + PERCENT) * high
+    share = np.maximum(1 - 2 * differ / bits, 1e-3)
+    likely = -bits / 2 * np.log(share)
+    spread = np.sqrt(np.maximum(bits / 4 * (1 - share**2) - likely * share**2, 0)) / share
+    return differ, (100 - PERCENT) * both >= (100 + PERCENT) * (likely + 5 * spread + 6)
 
 
 def _similar(whole: bool):  # noqa: ANN202
-    """From ``grp, n, cid, bitmap`` in this order the pairs ``a, b`` that may link; ``sure`` marks forest pairs. ``whole``: every pair, no forests.
+    """From ``grp, n, cid, bitmap, firsts`` in this order the pairs ``a, b`` that may link; ``sure`` marks forest pairs. ``whole``: every pair, no forests.
 
     A first pass over the pairs of a group grows the forest of sure pairs, a second one gives the
-    doubtful pairs between its trees.
+    doubtful pairs between its trees.  ``firsts`` are a class's least groups: a pair that both
+    name an earlier group for is given there, where it is a pair as well or stands in one tree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, bool]] = set()
-        for grp, n, cid, maps in _runs(batches):
+        for grp, n, cid, maps, firsts in _runs(batches):
             n = n.astype(np.int64)
             small = np.stack([folded(m, BITMAP_BITS // 8) for m in maps])
+            least = np.full((len(grp), FIRSTS), np.iinfo(np.int64).max)
+            for k, f in enumerate(firsts):
+                least[k, : len(f)] = f
             top = np.arange(len(grp))  # a row's tree
             for forest in (False,) if whole else (True, False):
                 live, k = np.arange(len(grp) - 1), 1
@@ -285,10 +296,13 @@ def _similar(whole: bool):  # noqa: ANN202
                         both = n[i] + n[j]
                         differ, sure = _differ(small, maps, i, j, both)
                         take = sure if forest else (100 - PERCENT) * both >= (100 + PERCENT) * differ
-                        for x, y in zip(i[take].tolist(), j[take].tolist(), strict=True):
+                        i, j = i[take], j[take]
+                        before = ((least[i][:, :, None] == least[j][:, None, :]) & (least[i] < grp[i][:, None])[:, :, None]).any((1, 2))
+                        for x, y, given in zip(i.tolist(), j.tolist(), before.tolist(), strict=True):
                             if top[x] != top[y]:
-                                p, q = sorted((int(cid[x]), int(cid[y])))
-                                seen.add((p, q, forest))
+                                if not given:
+                                    p, q = sorted((int(cid[x]), int(cid[y])))
+                                    seen.add((p, q, forest))
                                 if forest:
                                     part = top[np.searchsorted(grp, grp[y]) : np.searchsorted(grp, grp[y], side="right")]
                                     part[part == top[y]] = top[x]
@@ -392,8 +406,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prefixes = _prefixes(docs.where("doc_id is not null"), level).repartition("key").sortWithinPartitions("key", "n", "cid")
     met = written(prefixes.select("key", "n", "cid").mapInArrow(_met, "grp long, cid long"), "met")
 
+    groups = met.groupBy("cid").agg(F.sort_array(F.collect_set("grp")).alias("groups"))
+    enough = F.size("groups") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
+    known = written(classes.join(groups, "cid").where(enough).select("cid", "n", "bitmap", F.slice("groups", 1, FIRSTS).alias("firsts")), "known")
+
     def pairs(members: DataFrame, whole: bool) -> DataFrame:
-        there = members.join(classes.select("cid", "n", "bitmap"), "cid").select("grp", "n", "cid", "bitmap").repartition("grp").sortWithinPartitions("grp", "n", "cid")
+        there = members.join(known, "cid").select("grp", "n", "cid", "bitmap", "firsts").repartition("grp").sortWithinPartitions("grp", "n", "cid")
         found = there.mapInArrow(_similar(whole), "a long, b long, sure boolean")
         return written(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
 
