@@ -26,52 +26,57 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def _windows(lines: str, backward: bool) -> Column:
-    """The window from (or to) each line: its first line ``i``, its number of lines ``n``, words ``w``, content ``h`` and fingerprint ``m``.
+#: Lines that are looked at first for a window; where they have too few words, ``MIN_WORDS`` lines are.
+NEAR = 8
 
-    Contents of forward and of backward windows, which are read in reverse, never meet.  A line
-    with a word has one at least, so a window has no more than ``MIN_WORDS`` lines.
+
+def _windows(backward: bool) -> Column:
+    """The window from (or to) each line: content ``h``, first line ``i``, fingerprint ``m`` with its line ``at``, and the ``numbers`` of its lines.
+
+    Works on the columns ``w`` (words of each line, ``MIN_WORDS`` at most), ``hs`` and ``ks``.  A
+    line has a word at least, so a window has no more than ``MIN_WORDS`` lines.  The search keeps
+    words and lines in one integer.
     """
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(43 if backward else 42).cast("long").alias("h"), F.lit(None).cast("struct<h:bigint,i:int>").alias("m"))
+    enough = MIN_WORDS * 64
 
-    def window(x: Column, i: Column) -> Column:
-        reach = F.slice(lines, i + 1, F.lit(MIN_WORDS))
-        if backward:
-            first = F.greatest(i - (MIN_WORDS - 1), F.lit(0))
-            reach = F.reverse(F.slice(lines, first + 1, i - first + 1))
-        place = (lambda a: i - a["n"]) if backward else (lambda a: i + a["n"])
-        grown = lambda a, y: F.struct((a["w"] + y["w"]).alias("w"), (a["n"] + 1).alias("n"), F.xxhash64(a["h"], y["h"]).alias("h"), F.least(a["m"], F.struct(y["h"].alias("h"), place(a).alias("i"))).alias("m"))
-        one = F.struct(x["w"].alias("w"), F.lit(1).alias("n"), F.xxhash64(F.lit(42).cast("long"), x["h"]).alias("h"), F.struct(x["h"].alias("h"), i.alias("i")).alias("m"))
-        long = F.aggregate(reach, start, lambda a, y: F.when(a["w"] >= MIN_WORDS, a).otherwise(grown(a, y)))
-        return F.when(x["w"] >= MIN_WORDS, one).otherwise(long)
+    def grown(i: Column, lines: int) -> Column:
+        first = F.greatest(i - (lines - 1), F.lit(0))
+        reach = F.reverse(F.slice("w", first + 1, i - first + 1)) if backward else F.slice("w", i + 1, F.lit(lines))
+        return F.aggregate(reach, F.lit(0), lambda a, x: F.when(a >= enough, a).otherwise(a + x * 64 + 1))
 
-    def placed(x: Column, i: Column) -> Column:
-        a = F.get(F.transform(F.array(window(x, i)), lambda v: F.struct((i - v["n"] + 1 if backward else i).alias("i"), v["n"].alias("n"), v["w"].alias("w"), v["h"].alias("h"), v["m"].alias("m"))), 0)
-        return a
+    def found(x: Column, i: Column) -> Column:
+        longer = F.get(F.transform(F.array(grown(i, NEAR)), lambda v: F.when(v >= enough, v).otherwise(grown(i, MIN_WORDS))), 0)
+        return F.when(x >= MIN_WORDS, F.lit(enough + 1)).otherwise(longer)
 
-    return F.filter(F.transform(lines, placed), lambda v: v["w"] >= MIN_WORDS)
+    def placed(v: Column, i: Column) -> Column:
+        n = v % 64
+        first = i - n + 1 if backward else i
+        hashes = F.slice("hs", first + 1, n)
+        least = F.array_min(hashes)
+        window = F.struct(F.xxhash64(hashes).alias("h"), first.alias("i"), least.alias("m"), (first + F.array_position(hashes, least).cast("int") - 1).alias("at"), F.slice("ks", first + 1, n).alias("numbers"))
+        return F.when((v >= enough) & (n > 1) if backward else v >= enough, window)
+
+    return F.filter(F.transform(F.transform("w", found), placed), lambda v: v.isNotNull())
 
 
 def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` and ``lines``: number, hash and words of each line with a word."""
+    """``columns`` and, of each line with a word, the number in ``ks``, the hash in ``hs`` and the words in ``w``."""
     split = docs.select(*columns, F.split("text", "\n").alias("raw"))
-    trimmed = F.transform("raw", lambda x, k: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), F.xxhash64(x).alias("h"), k.alias("k")))
-    full = F.filter(trimmed, lambda x: x["t"] != "")
-    return split.withColumn("lines", F.transform(full, lambda x: F.struct(x["h"].alias("h"), F.size(F.split(x["t"], SPACE_CLASS)).alias("w"), x["k"].alias("k"))))
+    full = F.filter(F.transform("raw", lambda x, k: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), F.xxhash64(x).alias("h"), k.alias("k"))), lambda x: x["t"] != "")
+    words = F.transform("full", lambda x: F.least(F.size(F.split(x["t"], SPACE_CLASS)), F.lit(MIN_WORDS)))
+    return split.withColumn("full", full).withColumns({"w": words, "hs": F.col("full.h"), "ks": F.col("full.k")}).drop("raw", "full")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``__doc, __key, __gone``: for each document with deletions the numbers (from 0, among all its lines) of the deleted lines."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     lined = _lines(texts, F.col("doc"), F.col("key"))
-    both = F.concat(_windows("lines", False), F.filter(_windows("lines", True), lambda v: v["n"] > 1))
-    each = lined.select("doc", "key", F.col("lines.k").alias("numbers"), both.alias("all")).select("doc", "key", "numbers", F.explode("all").alias("v"))
-    numbers = F.slice("numbers", F.col("v.i") + 1, F.col("v.n"))
-    windows = written(each.select("doc", "key", F.col("v.i").alias("i"), F.col("v.h").alias("h"), F.col("v.m").alias("m"), numbers.alias("numbers")), "windows")
-
-    place = F.xxhash64("doc", "key", "m.i")
-    repeated = windows.groupBy(F.col("m.h").alias("print")).agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("print")
-    matched = windows.withColumn("print", F.col("m.h")).join(written(repeated, "prints"), "print")
+    both = lined.select("doc", "key", F.concat(_windows(False), _windows(True)).alias("all"))
+    windows = written(both.select("doc", "key", F.explode("all").alias("v")).select("doc", "key", "v.*"), "windows")
+
+    place = F.xxhash64("doc", "key", "at")
+    repeated = windows.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("m")
+    matched = windows.join(written(repeated, "prints"), "m")
     matched = written(matched.select("doc", "key", "i", "h", "numbers"), "matched")
     at = F.struct("doc", "key", "i")
     first = matched.groupBy("h").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("h", "low")
@@ -91,9 +96,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = written(repeated_lines(docs), "gone")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
     both = keyed.join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    lines = F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0)
+    both = both.withColumn("__raw", F.split("text", "\n"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), "__gone")
+    kept = F.array_join(F.transform(stays, lambda k: F.get("__raw", k)), "\n")
+    lines = F.when(F.col("text").isNotNull(), F.size("__raw")).otherwise(0)
     return both.select(*[F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], lines.alias("__lines"), "__gone")
 
 
