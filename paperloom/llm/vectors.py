@@ -28,7 +28,7 @@ COSINE = 0.98
 #: Vectors that the codebooks are trained on.
 SAMPLE = 4096
 #: Vectors of a cell, on average, that the size of the codebooks aims at.
-CELL = 500
+CELL = 5000
 CODES = (4, 256)
 CHUNK = 1024
 
