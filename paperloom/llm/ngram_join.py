@@ -6,10 +6,11 @@ come last, and within a level the hash decides.  Two sets that link must share
 ``SHARED`` of the first ``n - ceil(0.8 n) + SHARED`` shingles of either, or all but a fifth of
 sets too small for that.
 
-1. Only shingles met in two such prefixes of similar length go on, and only classes with as many
-   of them as a link needs.  Each shingle brings its classes together, with a parity bitmap that
-   bounds how much two sets differ.  A group yields a spanning forest of its surely similar sets
-   and every doubtful pair between its trees.
+1. Only shingles met in two such prefixes of similar length go on.  A shingle of ``FEW`` classes
+   at most gives their pairs; such a pair needs ``SHARED`` shingles, or it shares one with more
+   classes.  Each of these brings its classes together, if they have as many shingles as a link
+   needs, with a parity bitmap that bounds how much two sets differ.  A group yields a spanning
+   forest of its surely similar sets and every doubtful pair between its trees.
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ SHARED = 4
 BITMAP_BITS = 1024
 #: Classes of a group that are compared in one task; larger groups are split into pairs of blocks.
 BLOCK = 4096
+#: Classes of a shingle whose pairs are given by name; a row in such a group gives (FEW - 1) / 2 pairs at most.
+FEW = 8
+#: Bytes of texts whose shingles are made at once; a longer text is alone.
+TEXT_BYTES = 1 << 20
 #: Sets of a prefix tree.
 TREE = 512
 #: Bits of the filter on documents whose sets are needed.
@@ -142,10 +148,16 @@ def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.sort((level[at].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 512 rows, in which the column ``text`` has at most ``TEXT_BYTES`` or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(int(np.searchsorted(ends, before + TEXT_BYTES, side="right")), at + 1), at + 512)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +165,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for part in _chunks(batches):
+        for part in _chunks(batches, 1):
             sets = shingle_sets(part.column(1))
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
             yield rows(part.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], [bitmap(s) if len(s) else None for s in sets], [None] * len(sets))
@@ -187,7 +199,7 @@ def _prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
     """``key, cid, n``: the shingles of each document's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _chunks(batches):
+        for part in _chunks(batches, 0):
             keys, names, sizes = [], [], []
             for s in shingle_sets(part.column(0)):
                 if len(s):
@@ -220,7 +232,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``key, n, cid`` in this order the rows that share a key with another class of similar length, with the group that compares them."""
+    """Of ``key, n, cid`` in this order the rows that share a key with another class of similar length.
+
+    ``grp`` is the group that compares them, or null in a row of a key of few classes.  Those of
+    the latter are followed by its pairs: ``cid, other`` and the shingles ``need`` that they must share.
+    """
+
+    def out(grp: np.ndarray | None, cid: np.ndarray, other: np.ndarray | None = None, need: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [(grp, pa.int64()), (cid, pa.int64()), (other, pa.int64()), (need, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(cid), t) if x is None else pa.array(x, t) for x, t in columns], names=["grp", "cid", "other", "need"])
+
     for key, n, cid in _runs(batches):
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1])])
         key, n, cid = key[new], n[new].astype(np.int64), cid[new]
@@ -233,8 +254,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(key)))
         group = _mixed(key.view(np.uint64)).view(np.int64)
         large = np.flatnonzero(sizes > BLOCK)
-        single = np.repeat(sizes <= BLOCK, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(group[single]), pa.array(cid[single])], names=["grp", "cid"])
+        size = np.repeat(sizes, sizes)
+        single = (size > FEW) & (size <= BLOCK)
+        yield out(group[single], cid[single])
+        few = size <= FEW
+        yield out(None, cid[few])
+        key_, cid_, n_ = key[few], cid[few], n[few]
+        for k in range(1, FEW):
+            i = np.flatnonzero((key_[k:] == key_[:-k]) & (n_[k:] * PERCENT <= n_[:-k] * 100) & (cid_[k:] != cid_[:-k]))
+            a, b = cid_[i], cid_[i + k]
+            yield out(None, np.minimum(a, b), np.maximum(a, b), np.minimum(-(-PERCENT * n_[i + k] // 100), SHARED))
         for g in large:
             a, m = int(starts[g]), int(sizes[g])
             blocks = -(-m // BLOCK)
@@ -246,7 +275,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         break
                     rows = np.concatenate([cid[a + k * BLOCK : a + min(m, (k + 1) * BLOCK)] for k in {i, j}])
                     name = _mixed(np.array([int(key[a].view(np.uint64)) ^ (i << 20 | j) * 0x9E3779B1], dtype=np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, len(rows))), pa.array(rows)], names=["grp", "cid"])
+                    yield out(np.repeat(name, len(rows)), rows)
 
 
 def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +396,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: np.n
     bits = bits.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _chunks(batches):
+        for part in _chunks(batches, 1):
             hashed = part.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             wanted = (bits[(hashed >> np.uint64(48)).astype(np.int64)] >> ((hashed >> np.uint64(42)) & np.uint64(63))) & np.uint64(1) == 1
             part = part.filter(pa.array(wanted))
@@ -404,18 +433,22 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     named = shingled.where("cid is not null and doc_id is not null")
     classes = written(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     prefixes = _prefixes(docs.where("doc_id is not null"), level).repartition("key").sortWithinPartitions("key", "n", "cid")
-    met = written(prefixes.select("key", "n", "cid").mapInArrow(_met, "grp long, cid long"), "met")
+    every = written(prefixes.select("key", "n", "cid").mapInArrow(_met, "grp long, cid long, other long, need int"), "met")
+    met = every.where("grp is not null").select("grp", "cid")
+    few = every.where("other is not null").groupBy(F.col("cid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("m"), F.first("need").alias("need"))
+    few = few.where("m >= need").select("a", "b", F.lit(False).alias("sure"))
 
-    groups = met.groupBy("cid").agg(F.sort_array(F.collect_set("grp")).alias("groups"))
-    enough = F.size("groups") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
+    groups = every.where("other is null").groupBy("cid").agg(F.count_if(F.col("grp").isNull()).alias("alone"), F.sort_array(F.collect_set("grp")).alias("groups")).where(F.size("groups") > 0)
+    enough = F.col("alone") + F.size("groups") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
     known = written(classes.join(groups, "cid").where(enough).select("cid", "n", "bitmap", F.slice("groups", 1, FIRSTS).alias("firsts")), "known")
 
-    def pairs(members: DataFrame, whole: bool) -> DataFrame:
+    def pairs(members: DataFrame, whole: bool, more: DataFrame | None = None) -> DataFrame:
         there = members.join(known, "cid").select("grp", "n", "cid", "bitmap", "firsts").repartition("grp").sortWithinPartitions("grp", "n", "cid")
         found = there.mapInArrow(_similar(whole), "a long, b long, sure boolean")
+        found = found if more is None else found.unionByName(more)
         return written(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
 
-    first = pairs(met, False)
+    first = pairs(met, False, few)
     verified = _verified(first, classes, docs, level)
     links = verified.where("linked").select("a", "b")
     wrong = written(verified.where("not linked").join(first.where("sure"), ["a", "b"], "left_semi"), "wrong")
