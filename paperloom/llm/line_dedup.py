@@ -26,6 +26,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+#: Lines whose windows are looked for in one row; the lines around them that a window can need come along.
+STRETCH = 64
 #: Lines that are looked at first for a window; where they have too few words, ``MIN_WORDS`` lines are.
 NEAR = 8
 
@@ -33,9 +35,10 @@ NEAR = 8
 def _windows(backward: bool) -> Column:
     """The window from (or to) each line: content ``h``, first line ``i``, fingerprint ``m`` with its line ``at``, and the ``numbers`` of its lines.
 
-    Works on the columns ``w`` (words of each line, ``MIN_WORDS`` at most), ``hs`` and ``ks``.  A
-    line has a word at least, so a window has no more than ``MIN_WORDS`` lines.  The search keeps
-    words and lines in one integer.
+    Works on the columns ``w`` (words of each line, ``MIN_WORDS`` at most), ``hs`` and ``ks`` of a
+    stretch, of which ``STRETCH`` lines from ``begin`` are asked and which starts at the document's
+    line ``base``.  A line has a word at least, so a window has no more than ``MIN_WORDS`` lines.
+    The search keeps words and lines in one integer.
     """
     enough = MIN_WORDS * 64
 
@@ -46,14 +49,15 @@ def _windows(backward: bool) -> Column:
 
     def found(x: Column, i: Column) -> Column:
         longer = F.get(F.transform(F.array(grown(i, NEAR)), lambda v: F.when(v >= enough, v).otherwise(grown(i, MIN_WORDS))), 0)
-        return F.when(x >= MIN_WORDS, F.lit(enough + 1)).otherwise(longer)
+        mine = (i >= F.col("begin")) & (i < F.col("begin") + STRETCH)
+        return F.when(mine, F.when(x >= MIN_WORDS, F.lit(enough + 1)).otherwise(longer))
 
     def placed(v: Column, i: Column) -> Column:
         n = v % 64
         first = i - n + 1 if backward else i
         hashes = F.slice("hs", first + 1, n)
         least = F.array_min(hashes)
-        window = F.struct(F.xxhash64(hashes).alias("h"), first.alias("i"), least.alias("m"), (first + F.array_position(hashes, least).cast("int") - 1).alias("at"), F.slice("ks", first + 1, n).alias("numbers"))
+        window = F.struct(F.xxhash64(hashes).alias("h"), (F.col("base") + first).alias("i"), least.alias("m"), (F.col("base") + first + F.array_position(hashes, least).cast("int") - 1).alias("at"), F.slice("ks", first + 1, n).alias("numbers"))
         return F.when((v >= enough) & (n > 1) if backward else v >= enough, window)
 
     return F.filter(F.transform(F.transform("w", found), placed), lambda v: v.isNotNull())
@@ -67,11 +71,20 @@ def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
     return split.withColumn("full", full).withColumns({"w": words, "hs": F.col("full.h"), "ks": F.col("full.k")}).drop("raw", "full")
 
 
+def _stretches(lined: DataFrame) -> DataFrame:
+    """The lines of a document as short overlapping arrays: a slice costs as much as its array is long."""
+    ends = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+    start = F.explode(F.when(F.size("w") > 0, ends)).alias("start")
+    base = F.greatest(F.col("start") - (MIN_WORDS - 1), F.lit(0))
+    near = lined.select("doc", "key", "w", "hs", "ks", start).withColumns({"base": base, "begin": F.col("start") - base})
+    return near.select("doc", "key", "base", "begin", *[F.slice(c, F.col("base") + 1, F.lit(STRETCH + 2 * MIN_WORDS)).alias(c) for c in ("w", "hs", "ks")])
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``__doc, __key, __gone``: for each document with deletions the numbers (from 0, among all its lines) of the deleted lines."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     lined = _lines(texts, F.col("doc"), F.col("key"))
-    both = lined.select("doc", "key", F.concat(_windows(False), _windows(True)).alias("all"))
+    both = _stretches(lined).select("doc", "key", F.concat(_windows(False), _windows(True)).alias("all"))
     windows = written(both.select("doc", "key", F.explode("all").alias("v")).select("doc", "key", "v.*"), "windows")
 
     place = F.xxhash64("doc", "key", "at")
