@@ -231,7 +231,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield tuple(held)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(few: int, block: int):  # noqa: ANN202
     """Of ``key, n, cid`` in this order the rows that share a key with another class of similar length.
 
     ``grp`` is the group that compares them, or null in a row of a key of few classes.  Those of
@@ -242,40 +242,43 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [(grp, pa.int64()), (cid, pa.int64()), (other, pa.int64()), (need, pa.int32())]
         return pa.RecordBatch.from_arrays([pa.nulls(len(cid), t) if x is None else pa.array(x, t) for x, t in columns], names=["grp", "cid", "other", "need"])
 
-    for key, n, cid in _runs(batches):
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1])])
-        key, n, cid = key[new], n[new].astype(np.int64), cid[new]
-        near = (key[1:] == key[:-1]) & (n[1:] * PERCENT <= n[:-1] * 100)
-        keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-        key, cid, n = key[keep], cid[keep], n[keep]
-        if not len(key):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        group = _mixed(key.view(np.uint64)).view(np.int64)
-        large = np.flatnonzero(sizes > BLOCK)
-        size = np.repeat(sizes, sizes)
-        single = (size > FEW) & (size <= BLOCK)
-        yield out(group[single], cid[single])
-        few = size <= FEW
-        yield out(None, cid[few])
-        key_, cid_, n_ = key[few], cid[few], n[few]
-        for k in range(1, FEW):
-            i = np.flatnonzero((key_[k:] == key_[:-k]) & (n_[k:] * PERCENT <= n_[:-k] * 100) & (cid_[k:] != cid_[:-k]))
-            a, b = cid_[i], cid_[i + k]
-            yield out(None, np.minimum(a, b), np.maximum(a, b), np.minimum(-(-PERCENT * n_[i + k] // 100), SHARED))
-        for g in large:
-            a, m = int(starts[g]), int(sizes[g])
-            blocks = -(-m // BLOCK)
-            low = [int(n[a + k * BLOCK]) for k in range(blocks)]
-            high = [int(n[a + min(m, (k + 1) * BLOCK) - 1]) for k in range(blocks)]
-            for i in range(blocks):
-                for j in range(i, blocks):
-                    if low[j] * PERCENT > high[i] * 100:
-                        break
-                    rows = np.concatenate([cid[a + k * BLOCK : a + min(m, (k + 1) * BLOCK)] for k in {i, j}])
-                    name = _mixed(np.array([int(key[a].view(np.uint64)) ^ (i << 20 | j) * 0x9E3779B1], dtype=np.uint64)).view(np.int64)
-                    yield out(np.repeat(name, len(rows)), rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, cid in _runs(batches):
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1])])
+            key, n, cid = key[new], n[new].astype(np.int64), cid[new]
+            near = (key[1:] == key[:-1]) & (n[1:] * PERCENT <= n[:-1] * 100)
+            keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+            key, cid, n = key[keep], cid[keep], n[keep]
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            group = _mixed(key.view(np.uint64)).view(np.int64)
+            large = np.flatnonzero(sizes > block)
+            size = np.repeat(sizes, sizes)
+            single = (size > few) & (size <= block)
+            yield out(group[single], cid[single])
+            alone = size <= few
+            yield out(None, cid[alone])
+            key_, cid_, n_ = key[alone], cid[alone], n[alone]
+            for k in range(1, few):
+                i = np.flatnonzero((key_[k:] == key_[:-k]) & (n_[k:] * PERCENT <= n_[:-k] * 100) & (cid_[k:] != cid_[:-k]))
+                a, b = cid_[i], cid_[i + k]
+                yield out(None, np.minimum(a, b), np.maximum(a, b), np.minimum(-(-PERCENT * n_[i + k] // 100), SHARED))
+            for g in large:
+                a, m = int(starts[g]), int(sizes[g])
+                blocks = -(-m // block)
+                low = [int(n[a + k * block]) for k in range(blocks)]
+                high = [int(n[a + min(m, (k + 1) * block) - 1]) for k in range(blocks)]
+                for i in range(blocks):
+                    for j in range(i, blocks):
+                        if low[j] * PERCENT > high[i] * 100:
+                            break
+                        rows = np.concatenate([cid[a + k * block : a + min(m, (k + 1) * block)] for k in {i, j}])
+                        name = _mixed(np.array([int(key[a].view(np.uint64)) ^ (i << 20 | j) * 0x9E3779B1], dtype=np.uint64)).view(np.int64)
+                        yield out(np.repeat(name, len(rows)), rows)
+
+    return run
 
 
 def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -433,7 +436,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     named = shingled.where("cid is not null and doc_id is not null")
     classes = written(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     prefixes = _prefixes(docs.where("doc_id is not null"), level).repartition("key").sortWithinPartitions("key", "n", "cid")
-    every = written(prefixes.select("key", "n", "cid").mapInArrow(_met, "grp long, cid long, other long, need int"), "met")
+    every = written(prefixes.select("key", "n", "cid").mapInArrow(_met(FEW, BLOCK), "grp long, cid long, other long, need int"), "met")
     met = every.where("grp is not null").select("grp", "cid")
     few = every.where("other is not null").groupBy(F.col("cid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("m"), F.first("need").alias("need"))
     few = few.where("m >= need").select("a", "b", F.lit(False).alias("sure"))

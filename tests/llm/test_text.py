@@ -79,9 +79,10 @@ def brute_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
     return {d: (len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_ngram_components(documents, block, monkeypatch):
+@pytest.mark.parametrize(("block", "few"), [(4096, 8), (16, 1)])
+def test_ngram_components(documents, block, few, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "TREE", 8)
     random.seed(block)
     base = [[random.choice("abcdefghij") + str(random.randint(0, 300)) for _ in range(60)] for _ in range(6)]
@@ -108,6 +109,7 @@ def test_ngram_doubted_forest_is_done_again(documents, monkeypatch):
     rows = [(i, " ".join(words[i * 4 :] + [f"v{i}{k}" for k in range(i * 4)])) for i in range(8)]
     want = brute_components(rows)
     monkeypatch.setattr(ngram_join, "_differ", eager)
+    monkeypatch.setattr(ngram_join, "FEW", 1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(rows)).collect()}
     assert got == want
 
