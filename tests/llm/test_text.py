@@ -177,6 +177,20 @@ def test_personal_data(documents):
     assert pii.spans(documents([]), pii.fit(documents([]))).count() == 0
 
 
+def test_rewritten_spans_are_accepted(documents):
+    random.seed(8)
+    words = ["river", "stone", "garden", "window", "house", "market", "letter"]
+    prose = lambda n: " ".join(random.choice(words) for _ in range(n))
+    real = ["ann.lee@mail.example.com", "+44 20 7946 0018", "4111 1111 1111 1111", "10.0.0.255"]
+    docs = documents([(i, f"{prose(20)} {random.choice(real)} {prose(20)}") for i in range(4000)])
+    model = pii.fit(docs)
+    for kind, span in [("email", "jane (at) example (dot) com"), ("phone", "00 44 20 7946 0018"), ("ip", "10 . 0 . 0 . 7"), ("card", "4111 1111 1111 1111")]:
+        text = f"{prose(5)} {'7 ' if kind == 'card' else ''}{span} {prose(5)}"
+        assert pii.base_spans(text) == [] and [(k, text[a:b]) for k, a, b in model.added(text, [])] == [(kind, span)]
+    for text in ["meet @ noon. Then go", "at 10 . 0 . 300 . 7 too", "see 1. 2. 3. 4 there", "on 2024-05-17 10 he", "pay 7 4111 1111 1111 1112 now"]:
+        assert model.added(text, []) == []
+
+
 def test_trees_learn_what_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, len(pii.FEATURES)))
