@@ -9,8 +9,10 @@ sets too small for that.
 1. Only shingles met in two such prefixes of similar length go on.  A shingle of ``FEW`` classes
    at most gives their pairs; such a pair needs ``SHARED`` shingles, or it shares one with more
    classes.  Each of these brings its classes together, if they have as many shingles as a link
-   needs, with a parity bitmap that bounds how much two sets differ.  A group yields a spanning
-   forest of its surely similar sets and every doubtful pair between its trees.
+   needs, with a parity bitmap that bounds how much two sets differ; a set of ``SHORT`` shingles
+   at most comes with their lower halves instead, which tell how much two such sets differ.  A
+   group yields a spanning forest of its surely similar sets and every doubtful pair between its
+   trees; of two short sets no pair is doubtful.
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
@@ -41,6 +43,10 @@ SKETCH_BITS = 17
 SHARED = 4
 #: Least bits of a parity bitmap; a set of n shingles has the next power of two from 2 n.
 BITMAP_BITS = 1024
+#: Shingles of a set that is compared by their lower halves; larger ones have bitmaps.
+SHORT = 128
+#: Pairs that a task holds before it gives them out.
+HELD = 100_000
 #: Classes of a group that are compared in one task; larger groups are split into pairs of blocks.
 BLOCK = 4096
 #: Classes of a shingle whose pairs are given by name; a row in such a group gives (FEW - 1) / 2 pairs at most.
@@ -128,6 +134,11 @@ def class_of(grams: np.ndarray) -> int:
     return int(_mixed(sums[0] * _MIX + sums[1] + np.uint64(len(grams))).view(np.int64)[0])
 
 
+def mark(grams: np.ndarray) -> bytes:
+    """The lower halves of a short set's shingles, or the bitmap of a larger set."""
+    return (grams & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() if len(grams) <= SHORT else bitmap(grams)
+
+
 def bitmap(grams: np.ndarray) -> bytes:
     bits = max(BITMAP_BITS, 1 << (2 * len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
@@ -168,7 +179,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for part in _chunks(batches, 1):
             sets = shingle_sets(part.column(1))
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            yield rows(part.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], [bitmap(s) if len(s) else None for s in sets], [None] * len(sets))
+            yield rows(part.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], [mark(s) if len(s) else None for s in sets], [None] * len(sets))
         yield rows(pa.array([None], pa.int64()), [None], [None], [None], [counts.astype("<i8").tobytes()])
 
     def rows(doc: pa.Array, *rest: list) -> pa.RecordBatch:
@@ -281,22 +292,46 @@ def _met(few: int, block: int):  # noqa: ANN202
     return run
 
 
-def _differ(small: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _short_differ(halves: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How much short sets differ by the lower halves of their shingles: never more than the sets themselves."""
+    out = np.zeros(len(i), dtype=np.int64)
+    none = np.uint64(1 << 32) + np.arange(2 * SHORT, dtype=np.uint64)  # beyond the end of either set, equal to nothing
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        width = int(max(n[a].max(), n[b].max()))
+        k = np.arange(width)
+        left = np.where(k < n[a][:, None], halves[a, :width], none[:width])
+        right = np.where(k < n[b][:, None], halves[b, :width], none[SHORT : SHORT + width])
+        x = np.sort(np.concatenate([left, right], axis=1), axis=1)
+        out[at : at + 4096] = n[a] + n[b] - 2 * (x[:, 1:] == x[:, :-1]).sum(1)
+    return out
+
+
+def _differ(small: np.ndarray, maps: np.ndarray, n: np.ndarray, halves: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each pair a lower bound of how much the sets differ, and whether they surely link.
 
     A set bit is an odd number of differing shingles.  The estimate corrects for those that met
     in one bit; five standard deviations and three further meetings must still be within the limit.
+    Two short sets surely link where their lower halves do.
     """
+    both = n[i] + n[j]
     bits = np.full(len(i), BITMAP_BITS)
     differ = np.bitwise_count(small[i] ^ small[j]).sum(1, dtype=np.int64)
     for k in np.flatnonzero((100 - PERCENT) * both >= (100 + PERCENT) * differ).tolist():
+        if n[i[k]] <= SHORT or n[j[k]] <= SHORT:
+            continue
         size = min(len(maps[i[k]]), len(maps[j[k]]))
         if size * 8 > BITMAP_BITS:
             bits[k], differ[k] = size * 8, int(np.bitwise_count(folded(maps[i[k]], size) ^ folded(maps[j[k]], size)).sum())
     share = np.maximum(1 - 2 * differ / bits, 1e-3)
     likely = -bits / 2 * np.log(share)
     spread = np.sqrt(np.maximum(bits / 4 * (1 - share**2) - likely * share**2, 0)) / share
-    return differ, (100 - PERCENT) * both >= (100 + PERCENT) * (likely + 5 * spread + 6)
+    sure = (100 - PERCENT) * both >= (100 + PERCENT) * (likely + 5 * spread + 6)
+    short = np.flatnonzero((n[i] <= SHORT) & (n[j] <= SHORT) & ((100 - PERCENT) * both >= (100 + PERCENT) * differ))
+    if len(short):
+        differ[short] = _short_differ(halves, n, i[short], j[short])
+        sure[short] = (100 - PERCENT) * both[short] >= (100 + PERCENT) * differ[short]
+    return differ, sure
 
 
 def _similar(whole: bool):  # noqa: ANN202
@@ -311,7 +346,10 @@ def _similar(whole: bool):  # noqa: ANN202
         seen: set[tuple[int, int, bool]] = set()
         for grp, n, cid, maps, firsts in _runs(batches):
             n = n.astype(np.int64)
-            small = np.stack([folded(m, BITMAP_BITS // 8) for m in maps])
+            halves = np.zeros((len(grp), SHORT), dtype=np.uint64)
+            for k in np.flatnonzero(n <= SHORT).tolist():
+                halves[k, : n[k]] = np.frombuffer(maps[k], dtype="<u4")
+            small = np.stack([folded(bitmap(halves[k, : n[k]]) if n[k] <= SHORT else m, BITMAP_BITS // 8) for k, m in enumerate(maps)])
             least = np.full((len(grp), FIRSTS), np.iinfo(np.int64).max)
             for k, f in enumerate(firsts):
                 least[k, : len(f)] = f
@@ -326,7 +364,7 @@ def _similar(whole: bool):  # noqa: ANN202
                         i = open_[at : at + (1 << 16)]
                         j = i + k
                         both = n[i] + n[j]
-                        differ, sure = _differ(small, maps, i, j, both)
+                        differ, sure = _differ(small, maps, n, halves, i, j)
                         take = sure if forest else (100 - PERCENT) * both >= (100 + PERCENT) * differ
                         i, j = i[take], j[take]
                         before = ((least[i][:, :, None] == least[j][:, None, :]) & (least[i] < grp[i][:, None])[:, :, None]).any((1, 2))
@@ -335,13 +373,13 @@ def _similar(whole: bool):  # noqa: ANN202
                                 if not given:
                                     p, q = sorted((int(cid[x]), int(cid[y])))
                                     seen.add((p, q, forest))
+                                    if len(seen) >= HELD:
+                                        yield _pairs(seen)
+                                        seen = set()
                                 if forest:
                                     part = top[np.searchsorted(grp, grp[y]) : np.searchsorted(grp, grp[y], side="right")]
                                     part[part == top[y]] = top[x]
                     k += 1
-            if len(seen) > 100_000:
-                yield _pairs(seen)
-                seen = set()
         if seen:
             yield _pairs(seen)
 

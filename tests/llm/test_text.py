@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import langid, line_dedup, mixing, ngram_join, pii, quality
@@ -123,6 +124,31 @@ def test_ngram_repeated_and_null_ids(documents):
     assert ngram_join.similar_documents(documents([])).count() == 0
 
 
+def short_copies(n: int) -> list[str]:
+    words = [f"w{k}" for k in range(54)]
+    return [" ".join(words[:30] + [f"changed{i}"] + words[31:]) for i in range(n)]
+
+
+def group_of(rows: list[str]) -> pa.RecordBatch:
+    sets = sorted(ngram_join.shingle_sets(pa.array(rows)), key=ngram_join.class_of)
+    marks = [getattr(ngram_join, "mark", ngram_join.bitmap)(s) for s in sets]
+    columns = [pa.array([7] * len(sets), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([ngram_join.class_of(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([[7]] * len(sets), pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["grp", "n", "cid", "bitmap", "firsts"])
+
+
+def test_ngram_group_of_short_copies_gives_a_forest():
+    one = group_of(short_copies(500))
+    assert sum(b.num_rows for b in ngram_join._similar(False)(iter([one]))) == 499
+    batches = [b.num_rows for b in ngram_join._similar(True)(iter([one]))]
+    assert sum(batches) == 500 * 499 // 2 and max(batches) <= 100_000
+
+
+def test_ngram_short_copies_are_one_component(documents):
+    rows = list(enumerate(short_copies(60))) + [(100 + i, " ".join(t.split()[i % 9 :])) for i, t in enumerate(short_copies(40))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_tree_walk_equals_sets():
     rng = np.random.default_rng(2)
     one = np.unique(rng.integers(0, 80, 50)).astype(np.uint64)
