@@ -4,7 +4,8 @@ The vocabulary's path is a parameter; nothing is trained or copied.  A text is c
 pieces at white space exactly where the vocabulary's own pre-tokenizer cuts too, so a piece
 can be looked up in a cache that is bounded in entries and lives as long as the Python worker.
 Pieces that are not in the cache are cut further by the published pre-token pattern and merged
-by the library's BPE model.  Strings of special tokens in a text are ordinary text.
+by the library's BPE model.  Added tokens of the vocabulary in a text have their own ids, as the
+library gives them, unless ``encode_special_tokens`` makes them ordinary text (its flag of that name).
 """
 
 from __future__ import annotations
@@ -40,11 +41,15 @@ def _byte_letters() -> dict[int, str]:
 class ByteBpe:
     """``encode(text)``: the ids as unsigned 16-bit integers in the machine's order (little-endian on Spark's platforms)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        added = {} if encode_special_tokens else {t.content: k for k, t in whole.get_added_tokens_decoder().items()}
+        self.added = {content: array("H", [k]).tobytes() for content, k in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.fine = regex.compile(PRE_TOKEN)
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
@@ -52,9 +57,9 @@ class ByteBpe:
 
     @staticmethod
     def of(path: str) -> "ByteBpe":
-        """One per Python worker and vocabulary."""
+        """One per Python worker and vocabulary, with the library's ids for added tokens."""
         if path not in _OPEN:
-            _OPEN[path] = ByteBpe(path)
+            _OPEN[path] = ByteBpe(path, encode_special_tokens=False)
         return _OPEN[path]
 
     def _word(self, word: str) -> bytes:
@@ -75,6 +80,11 @@ class ByteBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return b"".join([self.added[t] if t in self.added else self._plain(t) for t in self.split.split(text) if t])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         known = self.pieces
         if len(known) >= CACHE_ENTRIES:
             known.clear()

@@ -33,6 +33,21 @@ def test_ids_are_the_librarys(tokenizer):
         assert np.frombuffer(bpe.encode(text), dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_unmodified_librarys(documents, tmp_path):
+    library = Tokenizer.from_file(default_vocabulary())
+    texts = ["a <|endoftext|> b", "a<|endoftext|><|endoftext|>  b", "<|endoftext|>", " \n<|endoftext|>\n x", "<|endoftext|", "plain  text", "it's <|ENDOFTEXT|>"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(ByteBpe.of(default_vocabulary()).encode(t), dtype="<u2").tolist() for t in texts] == want
+    docs = documents(list(enumerate(texts)))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(docs).collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(np.array([*x, 0], dtype="<u4").tobytes())) for k, x in enumerate(want)}
+    H.write_archive(docs, str(tmp_path / "a"))
+    assert {r.doc_id: r.n_tokens for r in H.read_archive(docs.sparkSession, str(tmp_path / "a")).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
+    docs.write.parquet(str(tmp_path / "d"))
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs.sparkSession.read.parquet(str(tmp_path / "d"))).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=40))
 def test_bins_hold_everything_once(lengths):
