@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset (tests on one machine), below a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path below ``spark.checkpoint.dir``.
+
+    Where that is unset a session in one process gets a temporary folder; on a cluster it is an
+    error, since executors would each write to a disk of their own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="paperloom-"))
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/paperloom/{what}-{uuid.uuid4().hex}"
 
 
