@@ -10,13 +10,14 @@ id that occurs; codes are canonical, so lengths are all that decoding needs.
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import shared_path, table, written
@@ -26,10 +27,11 @@ from paperloom.llm.tokens import ByteBpe, default_vocabulary
 MAX_BITS = 16
 #: Ids between two checkpoints.
 LANE = 64
-#: A block is closed when it has so many ids.
+#: Ids of a block, at most, unless it is a single longer document.
 BLOCK_TOKENS = 1 << 17
-#: Documents of a range of doc_id, on average.
-RANGE_DOCUMENTS = 4096
+#: Ids of a range of documents, on average, and ranges at most: beyond, ranges grow instead.
+RANGE_TOKENS = 1 << 22
+MOST_RANGES = 1 << 15
 IDS = 1 << 16
 
 
@@ -154,22 +156,23 @@ def decode(payload: bytes, doc_tokens: np.ndarray, lane_bits: np.ndarray, symbol
 
 
 def _tokenised(docs: DataFrame, end: int, vocabulary: str) -> DataFrame:
-    """``doc_id, tokens, low, high`` (the ids' bytes) of each document, and from each task a row with its ``counts``."""
+    """``doc_id, mix, tokens, low, high`` (a hash of the text, the ids' bytes) of each document, and from each task a row with its ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, tail, counts = ByteBpe.of(vocabulary), np.array([end], dtype="<u2").tobytes(), np.zeros(IDS, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(bpe.encode(t) + tail, dtype="<u2") for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(bpe.encode(t) + tail, dtype="<u2") for t in part.column(2).to_pylist()]
                 counts += np.bincount(np.concatenate(ids), minlength=IDS)
-                yield rows(part.column(0), [len(x) for x in ids], [(x & 255).astype(np.uint8).tobytes() for x in ids], [(x >> 8).astype(np.uint8).tobytes() for x in ids], [None] * len(ids))
-        yield rows(pa.array([None], pa.int64()), [None], [None], [None], [counts.astype("<i8").tobytes()])
+                yield rows(part.column(0), part.column(1), [len(x) for x in ids], [(x & 255).astype(np.uint8).tobytes() for x in ids], [(x >> 8).astype(np.uint8).tobytes() for x in ids], [None] * len(ids))
+        yield rows(pa.array([None], pa.int64()), pa.array([None], pa.int64()), [None], [None], [None], [counts.astype("<i8").tobytes()])
 
-    def rows(doc: pa.Array, *rest: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "tokens", "low", "high", "counts"])
+    def rows(doc: pa.Array, mix: pa.Array, *rest: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc, mix, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "mix", "tokens", "low", "high", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens int, low binary, high binary, counts binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mix"), text.alias("text")).mapInArrow(run, "doc_id long, mix long, tokens int, low binary, high binary, counts binary")
 
 
 def _global_counts(ids: DataFrame) -> np.ndarray:
@@ -189,37 +192,51 @@ def _global_counts(ids: DataFrame) -> np.ndarray:
     return counts
 
 
+def _key(doc: int | None, mix: int) -> tuple:
+    """Places a document in the archive: null ids first, then by id; rows that repeat an id by the hash of their text."""
+    return (doc is not None, doc or 0, mix)
+
+
+def _ranges(ids: DataFrame, total: int) -> tuple[list[tuple], list[int]]:
+    """The least key of each range of documents, ascending, and the ids before it; their number is bounded by ``MOST_RANGES``.
+
+    Spark's own range partitioning deals the narrow keys, so a range is a partition of its.
+    """
+    ranges = min(MOST_RANGES, max(1, math.ceil(total / RANGE_TOKENS)))
+    keys = ids.where("counts is null").select("doc_id", "mix", "tokens").repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), "mix")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "mix"))
+    each = keys.groupBy(F.spark_partition_id().alias("p")).agg(first.alias("first"), F.sum("tokens").alias("n")).collect()
+    each.sort(key=lambda r: r["p"])
+    before = np.cumsum([0, *(r["n"] for r in each)])
+    return [_key(r["first"]["doc_id"], r["first"]["mix"]) for r in each], before[:-1].tolist()
+
+
 def write_archive(docs: DataFrame, path: str, end: int = 2, vocabulary: str | None = None) -> None:
-    """Encode every document of ``docs`` (null text: empty; each ends with ``end``) into an archive at ``path`` in ascending order of ``doc_id``.
+    """Encode every document of ``docs`` (null or empty text: its ``end`` alone) into an archive at ``path`` in ascending order of ``doc_id``.
 
-    Null ids come first; rows that repeat an id stay separate documents, ordered by length and content.
+    The files, by name, hold the blocks in order.  Null ids come first; rows that repeat an id stay
+    separate documents, in the order of a hash of their texts.  A document is never cut, so a
+    very long one makes a block of its own.  Other columns of ``docs`` are ignored, and an empty
+    table makes an archive without blocks.
     """
     spark = docs.sparkSession
-    docs_n = docs.count()
-    ranges = max(1, math.ceil(docs_n / RANGE_DOCUMENTS))
-    cuts = np.array(docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [(k + 1) / ranges for k in range(ranges - 1)], 100 * ranges)).first()[0] or [], dtype=np.int64) if ranges > 1 else np.array([], dtype=np.int64)
     ids = written(_tokenised(docs, end, vocabulary or default_vocabulary()), "ids", compression="zstd")
-    lengths = code_lengths(_global_counts(ids))
+    counts = _global_counts(ids)
+    lengths = code_lengths(counts)
     codes = canonical(lengths)
+    first, bases = _ranges(ids, int(counts.sum()))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                doc = part.column(0).to_pylist()
-                docs = [np.frombuffer(a, dtype=np.uint8).astype(np.uint16) | np.frombuffer(b, dtype=np.uint8).astype(np.uint16) << 8 for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                docs = [np.frombuffer(a, dtype=np.uint8).astype(np.uint16) | np.frombuffer(b, dtype=np.uint8).astype(np.uint16) << 8 for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 done = encode(docs, lengths, codes)
-                bucket = [0 if d is None else int(np.searchsorted(cuts, d)) for d in doc]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), part.column(0), pa.array([len(d) for d in docs], pa.int32()), pa.array([a for a, _ in done], pa.binary()), pa.array([b for _, b in done], pa.binary())], names=["bucket", "doc_id", "tokens", "payload", "lanes"])
-
-    totals = ids.where("counts is null").select("doc_id", "tokens")
-    cut_list = F.array(*[F.lit(int(c)) for c in cuts]) if len(cuts) else None
-    bucket_of = F.lit(0) if cut_list is None else F.coalesce(F.aggregate(cut_list, F.lit(0), lambda n, c: n + F.when(c < F.col("doc_id"), 1).otherwise(0)), F.lit(0))
-    base = totals.groupBy(bucket_of.alias("bucket")).agg(F.sum("tokens").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
-    bases = {r["bucket"]: r["base"] for r in base.collect()}  # a number for each range
+                bucket = [bisect.bisect_right(first, _key(d, m)) - 1 for d, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), part.column(0), part.column(1), pa.array([len(d) for d in docs], pa.int32()), pa.array([a for a, _ in done], pa.binary()), pa.array([b for _, b in done], pa.binary())], names=["bucket", "doc_id", "mix", "tokens", "payload", "lanes"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, at, held = None, 0, 0, []
+        now, number, at, held, size = None, 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
             row = {"bucket": [now], "block": [number], "first_token": [at], "doc_ids": [[h[0] for h in held]], "doc_tokens": [[h[1] for h in held]], "lane_bits": [b"".join(h[3] for h in held)], "payload": [b"".join(h[2] for h in held)]}
@@ -227,17 +244,18 @@ def write_archive(docs: DataFrame, path: str, end: int = 2, vocabulary: str | No
 
         for batch in batches:
             for b, *doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (b != now or sum(h[1] for h in held) >= BLOCK_TOKENS):
+                if held and (b != now or size + doc[1] > BLOCK_TOKENS):
                     yield close()
-                    at, number, held = at + sum(h[1] for h in held), number + 1, []
+                    at, number, held, size = at + size, number + 1, [], 0
                 if b != now:
                     now, number, at = b, 0, bases[b]
                 held.append(doc)
+                size += doc[1]
         if held:
             yield close()
 
-    coded = ids.where("counts is null").select("doc_id", "low", "high").mapInArrow(compress, "bucket int, doc_id long, tokens int, payload binary, lanes binary")
-    dealt = coded.repartition(ranges, "bucket").sortWithinPartitions("bucket", "doc_id", "tokens", "payload")
+    coded = ids.where("counts is null").select("doc_id", "mix", "low", "high").mapInArrow(compress, "bucket int, doc_id long, mix long, tokens int, payload binary, lanes binary")
+    dealt = coded.repartitionById(max(1, len(first)), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "mix").select("bucket", "doc_id", "tokens", "payload", "lanes")
     dealt.mapInArrow(block, "bucket int, block int, first_token long, doc_ids array<long>, doc_tokens array<int>, lane_bits binary, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     seen = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in seen], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
@@ -268,6 +286,7 @@ def read_archive(spark: SparkSession, path: str, with_ids: bool = False) -> Data
 
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, encoded into an archive in ascending order of ids and decoded from it."""
     path = shared_path(spark, "archive")
     write_archive(table(spark, sf_dir, "documents"), path)
     return read_archive(spark, path)

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +128,22 @@ def test_archive_round_trip(documents, tokenizer, spark, tmp_path):
     assert H.read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_archive_files_are_in_ascending_order(documents, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "RANGE_TOKENS", 500)
+    monkeypatch.setattr(H, "BLOCK_TOKENS", 100)
+    random.seed(12)
+    ids = random.sample(range(-5000, 5000), 700) + [None] * 60 + [77] * 60
+    rows = [(d, " ".join(random.choice("abcd") for _ in range(random.randint(0, 20)))) for d in ids]
+    H.write_archive(documents(rows).repartition(7), str(tmp_path / "a"))
+    files = sorted((tmp_path / "a" / "blocks").glob("part-*.parquet"))
+    got = [d for f in files for r in pq.read_table(f).to_pylist() for d in r["doc_ids"]]
+    assert len(files) > 3 and got == sorted(ids, key=lambda d: (d is not None, d or 0))
+    first = [r["first_token"] for f in files for r in pq.read_table(f).to_pylist()]
+    assert first == sorted(first) and len(set(first)) == len(first)
+    starts = [(r.start, r.n_tokens) for r in H.read_archive(spark, str(tmp_path / "a")).orderBy("start").collect()]
+    assert [a for a, _ in starts] == np.cumsum([0, *(n for _, n in starts)])[:-1].tolist()
+
+
 def test_separators_across_blocks_and_files(spark, tmp_path):
     rng = np.random.default_rng(3)
     stream = np.concatenate([x for n in [0, 5, 1, 0, 40, 3, 17, 2] for x in (rng.integers(0, 50, n), [END])] + [rng.integers(0, 50, 4)]).astype(">u2")
