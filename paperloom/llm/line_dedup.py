@@ -5,13 +5,15 @@ stay.  A run counts when its lines have ``MIN_WORDS`` words or more.  Windows ar
 such runs: one forward from each line, one backward to each line; a run of lines with that many
 words is the union of the windows in it.
 
-* Winnowing: a window's fingerprint is the least line hash in it.  Equal windows have equal
-  fingerprints, so a repeated run always has one in common, and fingerprints that stand at one
-  place of the corpus rule out their windows at once.
-* Joined positions: the windows at repeated fingerprints are matched by their whole content with
-  the first place of that content, in order of ``doc_id`` and line.
-* Extension: windows that occur earlier grow together, forwards and backwards, to the whole
-  repeated run, which is deleted.  The first place of a content stays.
+* Winnowing: of each window only the line of least hash is kept, as a fingerprint with its
+  position.  Equal windows keep the same line, so a repeated run always has a fingerprint in
+  common; fingerprints that stand at one position of the corpus go.
+* Joined positions: a position of a repeated fingerprint is joined with the first position that
+  kept it in the same window, in order of ``doc_id`` and line.  That is one partner for each
+  window and not a pair for each two positions, so that a frequent line costs what it occurs.
+* Extension: each joined pair grows line by line both ways, as far as the lines are the same by a
+  digest of their texts (``DIGEST`` hexadecimal digits of SHA-256); hashes only propose.
+* Runs that have ``MIN_WORDS`` words then are deleted at the later place; the first stays.
 """
 
 from __future__ import annotations
@@ -24,77 +26,114 @@ from paperloom.llm.common import table, written
 MIN_WORDS = 50
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-
-
+#: Hexadecimal digits of a line's SHA-256 that tell whether lines are the same.
+DIGEST = 32
 #: Lines whose windows are looked for in one row; the lines around them that a window can need come along.
 STRETCH = 64
 #: Lines that are looked at first for a window; where they have too few words, ``MIN_WORDS`` lines are.
 NEAR = 8
+#: Lines on both sides of joined windows that an extension looks at; what lies beyond has windows of its own.
+REACH = 16
+
+
+def line_hash(line: Column) -> Column:
+    """What proposes matches; equal for different lines at no harm but work."""
+    return F.xxhash64(line)
 
 
-def _windows(backward: bool) -> Column:
-    """The window from (or to) each line: content ``h``, first line ``i``, fingerprint ``m`` with its line ``at``, and the ``numbers`` of its lines.
+def _windows() -> Column:
+    """First line ``i`` and number of lines ``n`` of the window from, and of that to, each line of a stretch.
 
-    Works on the columns ``w`` (words of each line, ``MIN_WORDS`` at most), ``hs`` and ``ks`` of a
-    stretch, of which ``STRETCH`` lines from ``begin`` are asked and which starts at the document's
-    line ``base``.  A line has a word at least, so a window has no more than ``MIN_WORDS`` lines.
-    The search keeps words and lines in one integer.
+    Works on the column ``w`` (words of each line, ``MIN_WORDS`` at most), of which ``STRETCH``
+    lines from ``begin`` are asked.  A line has a word at least, so a window has no more than
+    ``MIN_WORDS`` lines.  The search keeps words and lines in one integer.
     """
     enough = MIN_WORDS * 64
 
-    def grown(i: Column, lines: int) -> Column:
-        first = F.greatest(i - (lines - 1), F.lit(0))
-        reach = F.reverse(F.slice("w", first + 1, i - first + 1)) if backward else F.slice("w", i + 1, F.lit(lines))
-        return F.aggregate(reach, F.lit(0), lambda a, x: F.when(a >= enough, a).otherwise(a + x * 64 + 1))
+    def search(backward: bool) -> Column:
+        def grown(i: Column, lines: int) -> Column:
+            first = F.greatest(i - (lines - 1), F.lit(0))
+            reach = F.reverse(F.slice("w", first + 1, i - first + 1)) if backward else F.slice("w", i + 1, F.lit(lines))
+            return F.aggregate(reach, F.lit(0), lambda a, x: F.when(a >= enough, a).otherwise(a + x * 64 + 1))
+
+        def found(x: Column, i: Column) -> Column:
+            longer = F.get(F.transform(F.array(grown(i, NEAR)), lambda v: F.when(v >= enough, v).otherwise(grown(i, MIN_WORDS))), 0)
+            mine = (i >= F.col("begin")) & (i < F.col("begin") + STRETCH)
+            return F.when(mine, F.when(x >= MIN_WORDS, F.lit(enough + 1)).otherwise(longer))
+
+        def placed(v: Column, i: Column) -> Column:
+            n = v % 64
+            return F.when((v >= enough) & (n > 1) if backward else v >= enough, F.struct((i - n + 1 if backward else i).alias("i"), n.alias("n")))
+
+        return F.filter(F.transform(F.transform("w", found), placed), lambda v: v.isNotNull())
 
-    def found(x: Column, i: Column) -> Column:
-        longer = F.get(F.transform(F.array(grown(i, NEAR)), lambda v: F.when(v >= enough, v).otherwise(grown(i, MIN_WORDS))), 0)
-        mine = (i >= F.col("begin")) & (i < F.col("begin") + STRETCH)
-        return F.when(mine, F.when(x >= MIN_WORDS, F.lit(enough + 1)).otherwise(longer))
+    return F.concat(search(False), search(True))
 
-    def placed(v: Column, i: Column) -> Column:
-        n = v % 64
-        first = i - n + 1 if backward else i
-        hashes = F.slice("hs", first + 1, n)
-        least = F.array_min(hashes)
-        window = F.struct(F.xxhash64(hashes).alias("h"), (F.col("base") + first).alias("i"), least.alias("m"), (F.col("base") + first + F.array_position(hashes, least).cast("int") - 1).alias("at"), F.slice("ks", first + 1, n).alias("numbers"))
-        return F.when((v >= enough) & (n > 1) if backward else v >= enough, window)
 
-    return F.filter(F.transform(F.transform("w", found), placed), lambda v: v.isNotNull())
+def _kept(windows: Column) -> Column:
+    """The fingerprint ``m`` of each of ``windows``, its position ``at`` in the document, and the window."""
+    sliced = F.transform(windows, lambda v: F.struct(v["i"].alias("i"), v["n"].alias("n"), F.slice("hs", v["i"] + 1, v["n"]).alias("hs")))
+    return F.transform(sliced, lambda x: F.struct(F.array_min(x["hs"]).alias("m"), (F.col("base") + x["i"] + F.array_position(x["hs"], F.array_min(x["hs"])).cast("int") - 1).alias("at"), x["i"].alias("i"), x["n"].alias("n"), x["hs"].alias("hs")))
 
 
 def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` and, of each line with a word, the number in ``ks``, the hash in ``hs`` and the words in ``w``."""
+    """``columns`` and, of each line with a word, the number in ``ks``, the hash in ``hs``, the digest in ``ds`` and the words in ``w``."""
     split = docs.select(*columns, F.split("text", "\n").alias("raw"))
-    full = F.filter(F.transform("raw", lambda x, k: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), F.xxhash64(x).alias("h"), k.alias("k"))), lambda x: x["t"] != "")
+    full = F.filter(F.transform("raw", lambda x, k: F.struct(F.btrim(x, F.lit(SPACE)).alias("t"), x.alias("x"), k.alias("k"))), lambda x: x["t"] != "")
     words = F.transform("full", lambda x: F.least(F.size(F.split(x["t"], SPACE_CLASS)), F.lit(MIN_WORDS)))
-    return split.withColumn("full", full).withColumns({"w": words, "hs": F.col("full.h"), "ks": F.col("full.k")}).drop("raw", "full")
+    digests = F.transform("full", lambda x: F.unhex(F.substring(F.sha2(x["x"], 256), 1, DIGEST)))
+    return split.withColumn("full", full).withColumns({"w": words, "hs": F.transform("full", lambda x: line_hash(x["x"])), "ds": digests, "ks": F.col("full.k")}).drop("raw", "full")
 
 
-def _stretches(lined: DataFrame) -> DataFrame:
-    """The lines of a document as short overlapping arrays: a slice costs as much as its array is long."""
-    ends = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
-    start = F.explode(F.when(F.size("w") > 0, ends)).alias("start")
+def _stretches(lined: DataFrame, *arrays: str) -> DataFrame:
+    """The lines of a document as short overlapping ``arrays``: a slice costs as much as its array is long."""
+    start = F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH)))).alias("start")
     base = F.greatest(F.col("start") - (MIN_WORDS - 1), F.lit(0))
-    near = lined.select("doc", "key", "w", "hs", "ks", start).withColumns({"base": base, "begin": F.col("start") - base})
-    return near.select("doc", "key", "base", "begin", *[F.slice(c, F.col("base") + 1, F.lit(STRETCH + 2 * MIN_WORDS)).alias(c) for c in ("w", "hs", "ks")])
+    near = lined.select("*", start).withColumns({"base": base, "begin": F.col("start") - base})
+    return near.select("doc", "key", "base", "begin", *[c for c in ("hits",) if c in lined.columns], *[F.slice(c, F.col("base") + 1, F.lit(STRETCH + 2 * MIN_WORDS)).alias(c) for c in arrays])
+
+
+def _joined(lined: DataFrame) -> DataFrame:
+    """``doc, key, doc0, key0, lag, low, high``: where lines from ``low`` to ``high`` have windows that stand ``lag`` lines before, in an earlier document or place."""
+    marks = _stretches(lined, "w", "hs").select("doc", "key", F.explode(F.array_distinct(F.transform(_kept(_windows()), lambda x: F.struct(x["m"].alias("m"), x["at"].alias("at"))))).alias("v"))
+    prints = written(marks.select("doc", "key", "v.*"), "prints")
+    place = F.xxhash64("doc", "key", "at")
+    repeated = prints.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("m")
+    hits = prints.join(written(repeated, "repeated"), "m").groupBy("doc", "key").agg(F.collect_set("at").alias("hits"))
+    there = _stretches(lined.join(written(hits, "hits"), ["doc", "key"]), "w", "hs", "ds")
+    mine = F.filter("hits", lambda x: (x >= F.col("base")) & (x < F.col("base") + F.size("w")))
+    there = there.withColumn("hits", mine).where(F.size("hits") > 0)
+    live = F.filter(_kept(_windows()), lambda x: F.array_contains("hits", x["at"]))
+    named = F.transform(live, lambda x: F.struct(F.xxhash64(x["hs"]).alias("h"), F.xxhash64(F.slice("ds", x["i"] + 1, x["n"])).alias("g"), (F.col("base") + x["i"]).alias("i"), x["n"].alias("n")))
+    windows = written(there.select("doc", "key", F.explode(named).alias("v")).select("doc", "key", "v.*"), "windows")
+    at = F.struct("doc", "key", "i")
+    first = windows.groupBy("h", "g").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("h", "g", "low")
+    later = windows.join(written(first, "first"), ["h", "g"]).where(at > F.col("low"))
+    lag = (F.col("i") - F.col("low.i")).alias("lag")
+    return later.groupBy("doc", "key", F.col("low.doc").alias("doc0"), F.col("low.key").alias("key0"), lag).agg(F.min("i").alias("low"), F.max(F.col("i") + F.col("n") - 1).alias("high"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``__doc, __key, __gone``: for each document with deletions the numbers (from 0, among all its lines) of the deleted lines."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    lined = _lines(texts, F.col("doc"), F.col("key"))
-    both = _stretches(lined).select("doc", "key", F.concat(_windows(False), _windows(True)).alias("all"))
-    windows = written(both.select("doc", "key", F.explode("all").alias("v")).select("doc", "key", "v.*"), "windows")
-
-    place = F.xxhash64("doc", "key", "at")
-    repeated = windows.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("m")
-    matched = windows.join(written(repeated, "prints"), "m")
-    matched = written(matched.select("doc", "key", "i", "h", "numbers"), "matched")
-    at = F.struct("doc", "key", "i")
-    first = matched.groupBy("h").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("h", "low")
-    later = matched.join(written(first, "first"), "h").where(at > F.col("low"))
-    gone = later.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("numbers")))).alias("gone"))
+    lined = written(_lines(texts, F.col("doc"), F.col("key")), "lines", compression="zstd")
+    joined = written(_joined(lined), "joined")
+
+    start = F.greatest(F.col("low") - REACH, F.col("lag"), F.lit(0))  # neither document has lines before its first
+    names = written(joined.select("doc", "key").unionByName(joined.select(F.col("doc0").alias("doc"), F.col("key0").alias("key"))).distinct(), "names")
+    one = written(lined.select("doc", "key", "w", "ks", "ds").join(names, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]), "near", compression="zstd")
+    later = joined.withColumn("start", start).join(one, ["doc", "key"])
+    cut = lambda c: F.slice(c, F.col("start") + 1, F.col("high") + (1 + REACH) - F.col("start")).alias(c)
+    later = later.select("doc", "key", "doc0", "key0", "lag", "start", cut("w"), cut("ks"), cut("ds"))
+    other = one.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("ds").alias("ds0"))
+    both = later.join(other, ["doc0", "key0"]).withColumn("ds0", F.slice("ds0", F.col("start") - F.col("lag") + 1, F.size("ds")))
+    breaks = F.filter(F.sequence(F.lit(0), F.size("ds") - 1), lambda k: ~F.coalesce(F.get("ds", k) == F.get("ds0", k), F.lit(False)))
+    ends = F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("ds")))
+    both = both.withColumn("ends", ends)
+    runs = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), lambda j: F.struct((F.get("ends", j) + 1).alias("a"), (F.get("ends", j + 1) - F.get("ends", j) - 1).alias("n")))
+    whole = F.filter(runs, lambda r: F.aggregate(F.slice("w", r["a"] + 1, r["n"]), F.lit(0), lambda x, y: x + y) >= MIN_WORDS)
+    gone = both.select("doc", "key", F.flatten(F.transform(whole, lambda r: F.slice("ks", r["a"] + 1, r["n"]))).alias("gone")).where(F.size("gone") > 0)
+    gone = gone.groupBy("doc", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
     return gone.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
 
 
@@ -108,7 +147,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = written(repeated_lines(docs), "gone")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    both = keyed.join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
+    both = keyed.join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
     both = both.withColumn("__raw", F.split("text", "\n"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), "__gone")
     kept = F.array_join(F.transform(stays, lambda k: F.get("__raw", k)), "\n")
