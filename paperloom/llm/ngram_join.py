@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join of whole texts by prefix trees.
 
-A document's set holds its distinct shingles of ``WIDTH`` words; equal sets are one class.  All
-sets are kept in one global order: shingles that a count sketch of the whole corpus calls common
-come last, and within a level the hash decides.  Two sets that link must share
-``SHARED`` of the first ``n - ceil(0.8 n) + SHARED`` shingles of either, or all but a fifth of
-sets too small for that.
+A document's set holds its distinct shingles of ``WIDTH`` words as 64-bit hashes, and similarity is
+that of the hashes.  Equal sets are one class: its 64-bit name is part of a 128-bit BLAKE2 digest of
+the whole set, and should two digests share a name, all are named anew.  All sets are kept in one
+global order: shingles that a count sketch of the whole corpus calls common come last, and within
+a level the hash decides.  Two sets that link must share ``SHARED`` of the first
+``n - ceil(0.8 n) + SHARED`` shingles of either, or all but a fifth of sets too small for that.
 
 1. Only shingles met in two such prefixes of similar length go on.  A shingle of ``FEW`` classes
    at most gives their pairs; such a pair needs ``SHARED`` shingles, or it shares one with more
@@ -12,7 +13,9 @@ sets too small for that.
    needs, with a parity bitmap that bounds how much two sets differ; a set of ``SHORT`` shingles
    at most comes with their lower halves instead, which tell how much two such sets differ.  A
    group yields a spanning forest of its surely similar sets and every doubtful pair between its
-   trees; of two short sets no pair is doubtful.
+   trees; of two short sets no pair is doubtful.  A shingle whose counter is so high that it may
+   have more than ``BLOCK`` classes is dealt by its classes too, counted exactly, and goes on in
+   pairs of blocks, so no task meets all rows of a shingle.
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
@@ -22,6 +25,9 @@ sets too small for that.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +43,11 @@ from paperloom.llm.components import roots
 WIDTH = 5
 #: Least similarity, as a percentage.
 PERCENT = 80
-#: Counters of the corpus sketch; its size is the same for any corpus.
-SKETCH_BITS = 17
+#: The corpus sketch has a counter for ``2 ** SKETCH_DOCUMENTS`` documents, but between ``2 **`` these.
+SKETCH_BITS = (17, 20)
+SKETCH_DOCUMENTS = 5
+#: A counter so many times above the mean (and above ``BLOCK``) marks its shingles as perhaps hot.
+HOT = 4
 #: Shingles that two linking sets share at least, in prefixes that are longer by one less.
 SHARED = 4
 #: Least bits of a parity bitmap; a set of n shingles has the next power of two from 2 n.
@@ -53,10 +62,13 @@ BLOCK = 4096
 FEW = 8
 #: Bytes of texts whose shingles are made at once; a longer text is alone.
 TEXT_BYTES = 1 << 20
-#: Sets of a prefix tree.
+#: Sets of a prefix tree, and shingles of all its sets.
 TREE = 512
-#: Bits of the filter on documents whose sets are needed.
-FILTER_WORDS = 1 << 16
+TREE_SHINGLES = 1 << 18
+#: 64-bit words of the filter on documents whose sets are needed, as a power of two: 16 bits a document, but between these.
+FILTER_WORDS = (10, 19)
+#: Classes that a task remembers as given out.
+REMEMBERED = 1 << 20
 #: Groups that a class names, the least ones, so that a pair of several groups is given once.
 FIRSTS = 4
 
@@ -128,10 +140,15 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def class_of(grams: np.ndarray) -> int:
-    """A signed 64-bit name of a set, the same for equal sets."""
-    sums = [_mixed(grams).sum(dtype=np.uint64, keepdims=True), grams.sum(dtype=np.uint64, keepdims=True)]
-    return int(_mixed(sums[0] * _MIX + sums[1] + np.uint64(len(grams))).view(np.int64)[0])
+def digest_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves of a digest of a set (sorted), the same for equal sets."""
+    return struct.unpack("<qq", hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+
+
+def class_of(grams: np.ndarray, seed: int = 0) -> int:
+    """The name of a set's class."""
+    one, two = digest_of(grams)
+    return one if not seed else struct.unpack("<q", hashlib.blake2b(struct.pack("<qqq", one, two, seed), digest_size=8).digest())[0]
 
 
 def mark(grams: np.ndarray) -> bytes:
@@ -153,9 +170,13 @@ def folded(one: bytes, size: int) -> np.ndarray:
     return x
 
 
+def _counter(grams: np.ndarray, counters: int) -> np.ndarray:
+    return (grams >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
 def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set in global order: the sketch's level in the upper six bits, then the hash."""
-    at = (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    at = _counter(grams, len(level))
     return np.sort((level[at].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6)))
 
 
@@ -171,19 +192,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordB
             at = stop
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n, cid, bitmap`` of each document, and the sketch's ``at, count``."""
+def _classes(docs: DataFrame, counters: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, cid, check, bitmap`` of each document, and the sketch's ``at, count``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(counters, dtype=np.int64)
         for part in _chunks(batches, 1):
             sets = shingle_sets(part.column(1))
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            yield rows(part.column(0), [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], [mark(s) if len(s) else None for s in sets], [None] * len(sets))
-        yield rows(pa.array([None], pa.int64()), [None], [None], [None], [counts.astype("<i8").tobytes()])
+            counts += np.bincount(_counter(np.concatenate(sets), counters), minlength=counters)
+            yield rows(part.column(0), [len(s) for s in sets], [class_of(s, seed) if len(s) else None for s in sets], [digest_of(s)[1] if len(s) else None for s in sets], [mark(s) if len(s) else None for s in sets], [None] * len(sets))
+        yield rows(pa.array([None], pa.int64()), [None], [None], [None], [None], [counts.astype("<i8").tobytes()])
 
     def rows(doc: pa.Array, *rest: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n", "cid", "bitmap", "sketch"])
+        return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n", "cid", "check", "bitmap", "sketch"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,69 +213,94 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["at", "count"])
 
-    found = written(docs.mapInArrow(run, "doc_id long, n int, cid long, bitmap binary, sketch binary"), "shingled")
+    found = written(docs.mapInArrow(run, "doc_id long, n int, cid long, check long, bitmap binary, sketch binary"), "shingled")
     sketch = found.where("sketch is not null").select("sketch").mapInArrow(spread, "at int, count long").groupBy("at").agg(F.sum("count").alias("count"))
-    return found.where("sketch is null").select("doc_id", "n", "cid", "bitmap"), sketch
+    return found.where("sketch is null").select("doc_id", "n", "cid", "check", "bitmap"), sketch
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """How many times, as a power of two, a counter is above the mean: the order's upper key. The sketch has a fixed number of counters."""
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in sketch.collect():
-        counts[r["at"]] = r["count"]
+def _levels(sketch: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many times, as a power of two, a counter is above the mean (the order's upper key), and into how many parts the rows of its shingles are dealt."""
+    got, counts = sketch.toArrow(), np.zeros(counters, dtype=np.int64)  # as many rows as counters
+    counts[got["at"].to_numpy()] = got["count"].to_numpy()
     mean = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8)
+    parts = np.where(counts > max(BLOCK, HOT * mean), -(-counts // BLOCK), 0)
+    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8), np.minimum(parts, 1 << 20).astype(np.int32)
 
 
-def _prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """``key, cid, n``: the shingles of each document's prefix."""
+def _prefixes(docs: DataFrame, level: np.ndarray, parts: np.ndarray, seed: int) -> DataFrame:
+    """``key, part, n, cid``: the shingles of each class's prefix, once from each task that meets the class; ``part`` is 0 but for shingles that may be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for part in _chunks(batches, 0):
-            keys, names, sizes = [], [], []
+            keys, where, names, sizes = [], [], [], []
             for s in shingle_sets(part.column(0)):
-                if len(s):
+                cid = class_of(s, seed)
+                if len(s) and cid not in given:
+                    if len(given) >= REMEMBERED:
+                        given.clear()
+                    given.add(cid)
                     n = len(s)
                     take = min(n, n - -(-PERCENT * n // 100) + SHARED)
-                    keys.append(ordered(s, level)[:take])
-                    names.append(np.full(take, class_of(s), dtype=np.int64))
+                    at = _counter(s, len(level))
+                    key = (level[at].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                    first = np.argsort(key, kind="stable")[:take]
+                    dealt = parts[at[first]]
+                    keys.append(key[first])
+                    where.append(np.where(dealt > 0, 1 + np.int64(cid) % np.maximum(dealt, 1), 0))
+                    names.append(np.full(take, cid, dtype=np.int64))
                     sizes.append(np.full(take, n, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], names=["key", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(where).astype(np.int32)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names))], names=["key", "part", "n", "cid"])
 
-    return docs.select("text").mapInArrow(run, "key long, cid long, n int")
+    return docs.select("text").mapInArrow(run, "key long, part int, n int, cid long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of whole runs of the first column, which is sorted."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut:
-            yield tuple(x[:cut] for x in now)
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield tuple(held)
+        if held and not cut and held[-1][0][-1] == now[0][-1]:
+            held.append(now)
+            continue
+        pieces = [*held, [x[:cut] for x in now]] if cut else held
+        if pieces:
+            yield tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+        held = [[x[cut:] for x in now]]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _met(few: int, block: int):  # noqa: ANN202
-    """Of ``key, n, cid`` in this order the rows that share a key with another class of similar length.
+def _met(few: int):  # noqa: ANN202
+    """Of ``key, part, n, cid`` in this order the rows that share a key with another class of similar length.
 
     ``grp`` is the group that compares them, or null in a row of a key of few classes.  Those of
     the latter are followed by its pairs: ``cid, other`` and the shingles ``need`` that they must share.
+    Rows of a key that may be hot pass as they are, with their ``hot`` key.
     """
 
-    def out(grp: np.ndarray | None, cid: np.ndarray, other: np.ndarray | None = None, need: np.ndarray | None = None) -> pa.RecordBatch:
-        columns = [(grp, pa.int64()), (cid, pa.int64()), (other, pa.int64()), (need, pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(cid), t) if x is None else pa.array(x, t) for x, t in columns], names=["grp", "cid", "other", "need"])
+    def out(grp: np.ndarray | None, cid: np.ndarray, other: np.ndarray | None = None, need: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [(grp, pa.int64()), (cid, pa.int64()), (other, pa.int64()), (need, pa.int32()), (hot, pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(cid), t) if x is None else pa.array(x, t) for x, t in columns], names=["grp", "cid", "other", "need", "hot"])
+
+    def cold(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = batch.column(1).to_numpy() > 0
+            if many.any():
+                x = batch.filter(pa.array(many))
+                passed.append(out(None, x.column(3).to_numpy(), hot=x.column(0).to_numpy()))
+                batch = batch.filter(pa.array(~many))
+            yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, cid in _runs(batches):
+        passed: list[pa.RecordBatch] = []
+        for key, _, n, cid in _runs(cold(batches, passed)):
+            yield from passed
+            passed.clear()
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1])])
             key, n, cid = key[new], n[new].astype(np.int64), cid[new]
             near = (key[1:] == key[:-1]) & (n[1:] * PERCENT <= n[:-1] * 100)
@@ -265,9 +311,10 @@ def _met(few: int, block: int):  # noqa: ANN202
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
             group = _mixed(key.view(np.uint64)).view(np.int64)
-            large = np.flatnonzero(sizes > block)
             size = np.repeat(sizes, sizes)
-            single = (size > few) & (size <= block)
+            large = size > BLOCK
+            yield out(None, cid[large], hot=key[large])
+            single = (size > few) & ~large
             yield out(group[single], cid[single])
             alone = size <= few
             yield out(None, cid[alone])
@@ -276,22 +323,19 @@ def _met(few: int, block: int):  # noqa: ANN202
                 i = np.flatnonzero((key_[k:] == key_[:-k]) & (n_[k:] * PERCENT <= n_[:-k] * 100) & (cid_[k:] != cid_[:-k]))
                 a, b = cid_[i], cid_[i + k]
                 yield out(None, np.minimum(a, b), np.maximum(a, b), np.minimum(-(-PERCENT * n_[i + k] // 100), SHARED))
-            for g in large:
-                a, m = int(starts[g]), int(sizes[g])
-                blocks = -(-m // block)
-                low = [int(n[a + k * block]) for k in range(blocks)]
-                high = [int(n[a + min(m, (k + 1) * block) - 1]) for k in range(blocks)]
-                for i in range(blocks):
-                    for j in range(i, blocks):
-                        if low[j] * PERCENT > high[i] * 100:
-                            break
-                        rows = np.concatenate([cid[a + k * block : a + min(m, (k + 1) * block)] for k in {i, j}])
-                        name = _mixed(np.array([int(key[a].view(np.uint64)) ^ (i << 20 | j) * 0x9E3779B1], dtype=np.uint64)).view(np.int64)
-                        yield out(np.repeat(name, len(rows)), rows)
+        yield from passed
 
     return run
 
 
+def _blocks_of_hot(every: DataFrame) -> DataFrame:
+    """``grp, cid`` of the shingles that may be hot: one group up to ``BLOCK`` classes, else one for each pair of blocks."""
+    hot = every.where("hot is not null").select("hot", "cid")
+    heavy = written(hot.groupBy("hot").agg(F.count("*").alias("m")).where("m > 1").select("hot", F.ceil(F.col("m") / BLOCK).alias("blocks")), "heavy")
+    dealt = hot.join(heavy, "hot").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("hot", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cid")
+
+
 def _short_differ(halves: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """How much short sets differ by the lower halves of their shingles: never more than the sets themselves."""
     out = np.zeros(len(i), dtype=np.int64)
@@ -423,29 +467,31 @@ def tree_links(one: np.ndarray, others: list[np.ndarray]) -> list[bool]:
     return linked
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: np.ndarray, seed: int) -> DataFrame:
     """``a, b, linked`` of each pair, by the sets of the classes' first documents."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(written(sizes, "sizes"), "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / TREE)).alias("part"), "b")
+    pairs = pairs.select("a", "b")
+    sizes = pairs.join(classes.select(F.col("cid").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / TREE, F.sum("n") / TREE_SHINGLES)).alias("m"))
+    dealt = pairs.join(written(sizes, "sizes"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("m")).alias("part"), "b")
     member = written(dealt.select("a", "part", F.col("b").alias("cid")).unionByName(dealt.select("a", "part", F.col("a").alias("cid")).distinct()), "members")
     needed = written(member.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "needed")
-    h = F.xxhash64("rep")
-    words = needed.groupBy(F.shiftrightunsigned(h, 48).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(rep), 42) & 63 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_WORDS, dtype=np.int64)
-    for r in words.collect():  # the filter's size is fixed
-        bits[r["w"]] = r["bits"]
+    low, high = FILTER_WORDS
+    width = min(high, max(low, (needed.count() // 4).bit_length()))
+    h, bit = F.xxhash64("rep"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(rep), {58 - width}) & 63 as int))")
+    words = needed.groupBy(F.shiftrightunsigned(h, 64 - width).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # as many rows as words
+    bits = np.zeros(1 << width, dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
     bits = bits.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, 1):
             hashed = part.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            wanted = (bits[(hashed >> np.uint64(48)).astype(np.int64)] >> ((hashed >> np.uint64(42)) & np.uint64(63))) & np.uint64(1) == 1
+            wanted = (bits[(hashed >> np.uint64(64 - width)).astype(np.int64)] >> ((hashed >> np.uint64(58 - width)) & np.uint64(63))) & np.uint64(1) == 1
             part = part.filter(pa.array(wanted))
             sets = shingle_sets(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([ordered(s, level).tobytes() for s in sets], pa.binary())], names=["rep", "cid", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([ordered(s, level).tobytes() for s in sets], pa.binary())], names=["rep", "cid", "grams"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = texts.mapInArrow(run, "rep long, cid long, grams binary").join(needed.hint("shuffle_hash"), ["cid", "rep"]).select("cid", "grams")
+    sets = texts.mapInArrow(run, "rep long, cid long, grams binary").join(needed, ["cid", "rep"]).select("cid", "grams")
     grams = member.join(sets, "cid")
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -469,19 +515,30 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shingled, sketch = _classes(docs)
-    level = _levels(sketch)
-    named = shingled.where("cid is not null and doc_id is not null")
-    classes = written(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
-    prefixes = _prefixes(docs.where("doc_id is not null"), level).repartition("key").sortWithinPartitions("key", "n", "cid")
-    every = written(prefixes.select("key", "n", "cid").mapInArrow(_met(FEW, BLOCK), "grp long, cid long, other long, need int"), "met")
+    low, high = SKETCH_BITS
+    counters = 1 << min(high, max(low, (docs.count() >> SKETCH_DOCUMENTS).bit_length()))
+    for seed in itertools.count():
+        shingled, sketch = _classes(docs, counters, seed)
+        named = shingled.where("cid is not null and doc_id is not null")
+        each = named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), (F.min("check") == F.max("check")).alias("one"))
+        classes = written(each, "classes")
+        if classes.where("not one").isEmpty():
+            break
+    level, parts = _levels(sketch, counters)
+    prefixes = _prefixes(docs.where("doc_id is not null"), level, parts, seed).repartition("key", "part").sortWithinPartitions("key", "part", "n", "cid")
+    every = written(prefixes.mapInArrow(_met(FEW), "grp long, cid long, other long, need int, hot long"), "met")
     met = every.where("grp is not null").select("grp", "cid")
+    if not every.where("hot is not null").isEmpty():
+        met = written(met.unionByName(_blocks_of_hot(every)), "groups")
     few = every.where("other is not null").groupBy(F.col("cid").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("m"), F.first("need").alias("need"))
     few = few.where("m >= need").select("a", "b", F.lit(False).alias("sure"))
 
-    groups = every.where("other is null").groupBy("cid").agg(F.count_if(F.col("grp").isNull()).alias("alone"), F.sort_array(F.collect_set("grp")).alias("groups")).where(F.size("groups") > 0)
-    enough = F.col("alone") + F.size("groups") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
-    known = written(classes.join(groups, "cid").where(enough).select("cid", "n", "bitmap", F.slice("groups", 1, FIRSTS).alias("firsts")), "known")
+    lone = every.where("other is null and grp is null and hot is null").select(F.lit(None).cast("long").alias("grp"), "cid")
+    many = every.where("hot is not null").groupBy("cid").agg(F.count("*").alias("hot"))
+    groups = lone.unionByName(met).groupBy("cid").agg(F.count_if(F.col("grp").isNull()).alias("alone"), F.slice(F.sort_array(F.collect_set("grp")), 1, FIRSTS).alias("firsts"), F.count("grp").alias("groups")).where("groups > 0")
+    groups = groups.join(many, "cid", "left")
+    enough = F.col("alone") + F.col("groups") + F.coalesce("hot", F.lit(0)) >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
+    known = written(classes.join(groups, "cid").where(enough).select("cid", "n", "bitmap", "firsts"), "known")
 
     def pairs(members: DataFrame, whole: bool, more: DataFrame | None = None) -> DataFrame:
         there = members.join(known, "cid").select("grp", "n", "cid", "bitmap", "firsts").repartition("grp").sortWithinPartitions("grp", "n", "cid")
@@ -490,7 +547,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         return written(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
 
     first = pairs(met, False, few)
-    verified = _verified(first, classes, docs, level)
+    verified = _verified(first, classes, docs, level, seed)
     links = verified.where("linked").select("a", "b")
     wrong = written(verified.where("not linked").join(first.where("sure"), ["a", "b"], "left_semi"), "wrong")
     if not wrong.isEmpty():
@@ -499,7 +556,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         ends = near.join(bad, "root", "left_semi").select(F.col("node").alias("cid"))
         groups = met.join(ends, "cid", "left_semi").select("grp").distinct()
         again = pairs(met.join(groups, "grp", "left_semi"), True).join(verified, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(again, classes, docs, level).where("linked").select("a", "b"))
+        links = links.unionByName(_verified(again, classes, docs, level, seed).where("linked").select("a", "b"))
     top = roots(links).select(F.col("node").alias("cid"), "root")
     rooted = written(classes.select("cid", "rep").join(top, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "rep"), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
@@ -508,10 +565,23 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the least of its component; rows with a null id stay."""
-    groups = similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(groups, F.col("doc_id").cast("long") == F.col("__later"), "left_anti")
+    """The rows of ``docs``, all columns, whose id is the least of its component: one document of each.
+
+    Of rows that repeat both id and text one stays; rows that repeat an id with different texts
+    stay if the id is their component's.  Rows with a null id stay, all of them; an empty table
+    gives no row.
+    """
+    later = similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
+    key = F.col("doc_id").cast("long")
+    kept = docs.join(written(later, "later"), key == F.col("__later"), "left_anti")
+    repeated = written(docs.groupBy(key.alias("__twice")).agg(F.count("*").alias("n")).where("n > 1 and __twice is not null").select("__twice"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    twice = key == F.col("__twice")
+    once = kept.join(repeated, twice, "left_semi").withColumn("__id", key).dropDuplicates(["__id", "text"]).drop("__id")
+    return kept.join(repeated, twice, "left_anti").unionByName(once)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
     return similar_documents(table(spark, sf_dir, "documents"))
