@@ -4,32 +4,37 @@ Unit vectors are split into two halves, each with a codebook of its own, trained
 bounded sample (``SAMPLE`` vectors).  A vector lies in the cell of the product grid that its two
 nearest codes name.  A query walks the cells in rising order of the least distance that a vector
 in the cell can have (multi-sequence traversal), and stops where that passes the distance of the
-threshold: the recall aimed at is 1, since no link lies beyond.  What shares a cell and a label is
-verified in double precision.  Equal vectors are one entry with a count, and cells with more
-than ``CHUNK`` entries or queries are dealt out to several tasks.
+threshold: the recall aimed at is 1, since no link lies beyond.
+
+Neighbouring cells share a slot of about ``SLOT`` vectors; a query is sent once to each slot that
+it has cells in, and only to its own and later ones, since a link is seen from both its ends.
+What shares a slot and a label is verified in double precision.  Equal vectors are one entry with
+a count, and slots with more than ``CHUNK`` entries or queries are dealt out to several tasks.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.common import table, written
 from paperloom.llm.components import roots
 
 COSINE = 0.98
-#: Vectors that the codebooks are trained on.
-SAMPLE = 4096
-#: Vectors of a cell, on average, that the size of the codebooks aims at.
-CELL = 5000
-CODES = (4, 256)
+#: Vectors that the codebooks are trained on, at most; ``SAMPLE_CODE`` for each code.
+SAMPLE = 16384
+SAMPLE_CODE = 64
+#: Vectors of a cell, on average, that the size of the codebooks aims at, and their size: beyond, cells grow, and slots still do not.
+CELL = 16
+CODES = (4, 1024)
+SLOT = 4096
 CHUNK = 1024
 
 
@@ -59,34 +64,65 @@ def margins(x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, gap**2
 
 
-def cells(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Cells in rising order of the sum of two margins, as far as ``reach``."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, out = [(first[a[0]] + second[b[0]], 0, 0)], []
-    while heap and heap[0][0] <= reach:
-        _, i, j = heapq.heappop(heap)
-        out.append((int(a[i]), int(b[j])))
-        if j + 1 < len(b):
-            heapq.heappush(heap, (first[a[i]] + second[b[j + 1]], i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (first[a[i + 1]] + second[b[0]], i + 1, 0))
+def traversed(first: np.ndarray, second: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, i, j)`` of the cells whose two margins sum up to ``reach`` at most, those of a query in rising order.
+
+    Both margins of a query (a row of ``first`` and of ``second``) are sequences of their own: for
+    each step along the first, the second is followed as far as what is left of ``reach``.
+    """
+    q, i = np.nonzero(first <= reach)
+    k, j = np.nonzero(second[q] <= (reach - first[q, i])[:, None])
+    q, i = q[k], i[k]
+    order = np.lexsort((first[q, i] + second[q, j], q))
+    return q[order], i[order], j[order]
+
+
+def chain(codes: np.ndarray) -> np.ndarray:
+    """The rank of each code in an order in which neighbours are near: each is followed by the nearest that is left."""
+    rank, at = np.zeros(len(codes), dtype=np.int64), 0
+    left = np.ones(len(codes), dtype=bool)
+    for n in range(len(codes)):
+        rank[at], left[at] = n, False
+        if left.any():
+            rest = np.flatnonzero(left)
+            at = int(rest[((codes[rest] - codes[at]) ** 2).sum(1).argmin()])
+    return rank
+
+
+def slots_of(counts: np.ndarray, one: np.ndarray, two: np.ndarray, slot: int) -> np.ndarray:
+    """The slot of each cell: runs of cells with about ``slot`` vectors along the first codes and, there and back, the second ones."""
+    a, b = np.divmod(np.arange(len(one) * len(two)), len(two))
+    rank, inner = chain(one)[a], chain(two)[b]
+    order = np.lexsort((np.where(rank % 2, -inner, inner), rank))
+    out = np.zeros(len(order), dtype=np.int32)
+    out[order] = (np.cumsum(counts[order]) - counts[order]) // slot
     return out
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """``vec_id, label, v``: rows that can link, with the vector in double precision."""
-    v = F.col("embedding").cast("array<double>")
+    """``vec_id, label, v``: rows that can link; single precision stays as it is until it is computed with."""
+    v = _plain(rows)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(finite & some).select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
 
 
-def codebooks(entries: DataFrame, dimensions: int, total: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def _plain(rows: DataFrame) -> Column:
+    single = isinstance(rows.schema["embedding"].dataType, T.ArrayType) and isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType)
+    return F.col("embedding").cast("array<float>" if single else "array<double>")
+
+
+def _unit(v: pa.Array) -> np.ndarray:
+    x = np.stack(v.to_numpy(zero_copy_only=False)).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def codebooks(entries: DataFrame, dimensions: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of either half, from the entries of ``dimensions`` whose hash is least."""
-    rows = entries.where(F.size("v") == dimensions).select(F.xxhash64("rep").alias("h"), "v").orderBy("h").limit(sample).collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
-    x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
     k = int(min(max(math.sqrt(total / CELL), CODES[0]), CODES[1]))
+    rows = entries.where(F.size("v") == dimensions).select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(min(SAMPLE, SAMPLE_CODE * k)).toArrow()
+    x = _unit(rows["v"].combine_chunks())
     half = max(1, dimensions // 2)
     return kmeans(x[:, :half], k), kmeans(x[:, half:], k) if half < dimensions else np.zeros((1, 0))
 
@@ -97,10 +133,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors link with others of their label at ``cosine`` or more.  A vector that is null, zero,
     or holds null or non-finite values links with nothing, nor does one without label or id, nor
     vectors of different lengths; such a row is kept as its own component.  Repeated rows are
-    vectors of their own with the same id.  Other columns are ignored.
+    vectors of their own with the same id, and rows that repeat an id with other vectors too.
+    Other columns are ignored; an empty table gives no row.
     """
     rows = rows.select("vec_id", "label", "embedding")
-    entries = written(valid_vectors(rows).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "entries")
+    same = valid_vectors(rows).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    entries = written(same.withColumn("entry", F.monotonically_increasing_id()), "entries")
     sizes = entries.groupBy(F.size("v").alias("d")).count().collect()  # one row for each length of vectors
     reach = 2 - 2 * cosine + 1e-9
     counts, links = None, None
@@ -110,62 +148,72 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
         links = joined if links is None else links.unionByName(joined)
     if counts is None:
         return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    top = roots(links)
-    least = written(top.groupBy("root").agg(F.min("node").alias("component_id")), "least")
-    component = top.join(least, "root").select(F.col("node").alias("rep"), "component_id")
-    total = counts.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = written(entries.join(total, "rep", "left").join(component, "rep", "left").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("c")), "known")
-    keyed = rows.withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")))
+    top = roots(links).join(entries.select(F.col("entry").alias("node"), "rep"), "node")
+    least = written(top.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    component = top.join(least, "root").select(F.col("node").alias("entry"), "component_id")
+    total = counts.groupBy("entry").agg(F.sum("n").alias("n"))
+    known = written(entries.join(total, "entry", "left").join(component, "entry", "left").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "rep").alias("c")), "known")
+    keyed = rows.withColumn("v", F.when(F.col("vec_id").isNotNull(), _plain(rows)))
     both = keyed.join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     vec, c = F.col("vec_id").cast("long"), F.coalesce("c", F.col("vec_id").cast("long"))
     return both.select(vec.alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(vec == c, F.lit(True)).alias("kept"))
 
 
 def _linked(entries: DataFrame, codes: tuple[np.ndarray, np.ndarray], reach: float, cosine: float, total: int) -> tuple[DataFrame, DataFrame]:
-    """``rep, n`` (linked copies, by cell) and the ``a, b`` of spanning links."""
+    """``entry, n`` (linked copies, by slot) and the ``a, b`` of spanning links."""
     one, two = codes
-    width = len(two)
+    width, half = len(two), codes[0].shape[1]
+    kind = entries.schema["v"].dataType.simpleString()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = np.stack(part.column(3).to_numpy(zero_copy_only=False))
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                half = one.shape[1]
-                (i, m), (j, n) = margins(x[:, :half], one), margins(x[:, half:], two)
-                rows, cell, query = [], [], []
-                for r in range(len(x)):
-                    home = int(i[r]) * width + int(j[r])
-                    seen = [a * width + b for a, b in cells(m[r], n[r], reach)]
-                    rows += [r] * (len(seen) + 1)
-                    cell += [home, *seen]
-                    query += [False] + [True] * len(seen)
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(query)], names=["label", "rep", "copies", "v", "cell", "query"])
+                x = _unit(batch.column(0).slice(at, 1024))
+                near = [((c**2).sum(1) - 2 * y @ c.T).argmin(1) for y, c in ((x[:, :half], one), (x[:, half:], two))]
+                yield pa.RecordBatch.from_arrays([pa.array(near[0] * width + near[1], pa.int32())], names=["cell"])
+
+    counts = np.zeros(len(one) * width, dtype=np.int64)
+    got = entries.select("v").mapInArrow(home, "cell int").groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # a row for each cell at most
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
+    slot_of = slots_of(counts, one, two, SLOT)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = _unit(part.column(3))
+                (i, m), (j, n) = margins(x[:, :half], one), margins(x[:, half:], two)
+                mine = slot_of[i * width + j]
+                q, a, b = traversed(m, n, reach)
+                seen = np.unique(np.stack([q, slot_of[a * width + b]]), axis=1)
+                seen = seen[:, seen[1] > mine[seen[0]]]
+                row = np.concatenate([np.arange(len(x)), np.arange(len(x)), seen[0]])
+                slot = np.concatenate([mine, mine, seen[1]])
+                role = np.repeat([0, 1, 2], [len(x), len(x), seen.shape[1]])
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(slot, pa.int32()), pa.array(role, pa.int32())], names=["label", "entry", "copies", "v", "slot", "role"])
+
+    # Role 0 is stored in its slot, 1 asks in its own slot, 2 in another one.
     label = entries.schema["label"].dataType.simpleString()
-    wide = entries.select("label", "rep", "copies", "v").repartition(max(8, math.ceil(total / 4096)), "rep")
-    placed = written(wide.mapInArrow(place, f"label {label}, rep long, copies long, v array<double>, cell int, query boolean"), "placed")
-    chunks = placed.groupBy("label", "cell").agg(F.ceil(F.count_if(~F.col("query")) / CHUNK).alias("stored"), F.ceil(F.count_if("query") / CHUNK).alias("asked")).where("stored > 0")
-    dealt = placed.join(written(chunks, "chunks"), ["label", "cell"])
-    h = F.xxhash64("rep")
-    others = F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("stored") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("asked"), F.lit(1)) - 1))
+    wide = entries.select("label", "entry", "copies", "v").repartition(max(8, math.ceil(total / 4096)), "entry")
+    placed = written(wide.mapInArrow(place, f"label {label}, entry long, copies long, v {kind}, slot int, role int"), "placed")
+    chunks = placed.groupBy("label", "slot").agg(F.ceil(F.count_if(F.col("role") == 0) / CHUNK).alias("stored"), F.ceil(F.count_if(F.col("role") > 0) / CHUNK).alias("asked")).where("stored > 0")
+    dealt = placed.join(written(chunks, "chunks"), ["label", "slot"])
+    h, stored_here = F.xxhash64("entry"), F.col("role") == 0
+    others = F.sequence(F.lit(0).cast("long"), F.when(stored_here, F.greatest("asked", F.lit(1).cast("long"))).otherwise(F.col("stored")) - 1)
     dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.withColumn("s", F.when(F.col("query"), F.col("other")).otherwise(F.pmod(h, F.col("stored")))).withColumn("a", F.when(F.col("query"), F.pmod(h, F.col("asked"))).otherwise(F.col("other")))
+    dealt = dealt.withColumn("s", F.when(stored_here, F.pmod(h, F.col("stored"))).otherwise(F.col("other"))).withColumn("a", F.when(stored_here, F.col("other")).otherwise(F.pmod(h, F.col("asked"))))
 
     def verify(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        stored, asked = rows[~rows["query"]], rows[rows["query"]]
-        empty = pd.DataFrame({"rep": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+        stored, asked = rows[rows["role"] == 0], rows[rows["role"] > 0]
         if not len(stored) or not len(asked):
-            return empty
-        x, y = np.stack(asked["v"].to_numpy()), np.stack(stored["v"].to_numpy())
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("entry", "n", "to")})
+        x, y = np.stack(asked["v"].to_numpy()).astype(np.float64), np.stack(stored["v"].to_numpy()).astype(np.float64)
         x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-        p, q, copies = asked["rep"].to_numpy(), stored["rep"].to_numpy(), stored["copies"].to_numpy()
+        p, q = asked["entry"].to_numpy(), stored["entry"].to_numpy()
         near = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1) >= cosine
         near &= p[:, None] != q
-        total = near @ copies
+        far = asked["role"].to_numpy() == 2  # what asks from another slot is not asked for by what is stored here
+        total, back = near @ stored["copies"].to_numpy(), asked["copies"].to_numpy()[far] @ near[far]
         a, b = np.nonzero(near)
         tree: dict[int, int] = {}
 
@@ -180,16 +228,16 @@ def _linked(entries: DataFrame, codes: tuple[np.ndarray, np.ndarray], reach: flo
             if ru != rw:
                 tree[ru] = rw
                 spanning.append((u, w))
-        full = total > 0
-        out = [pd.DataFrame({"rep": p[full], "n": total[full], "to": p[full]})]
+        out = [pd.DataFrame({"entry": e[n > 0], "n": n[n > 0], "to": e[n > 0]}) for e, n in ((p, total), (q, back))]
         if spanning:
             u, w = np.array(spanning).T
-            out.append(pd.DataFrame({"rep": u, "n": 0, "to": w}))
+            out.append(pd.DataFrame({"entry": u, "n": 0, "to": w}))
         return pd.concat(out, ignore_index=True)
 
-    found = written(dealt.select("label", "cell", "s", "a", "rep", "copies", "v", "query").groupBy("label", "cell", "s", "a").applyInPandas(verify, "rep long, n long, to long"), "near")
-    return found.select("rep", "n"), found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    found = written(dealt.select("label", "slot", "s", "a", "entry", "copies", "v", "role").groupBy("label", "slot", "s", "a").applyInPandas(verify, "entry long, n long, to long"), "near")
+    return found.select("entry", "n"), found.where("entry <> to").select(F.col("entry").alias("a"), F.col("to").alias("b"))
 
 
 def op5_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every vector of ``embeddings``."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

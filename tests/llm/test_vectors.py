@@ -26,10 +26,11 @@ def brute(rows):
     return {i: (links.get(i, 0), top(i), top(i) == i) for i, _, _ in rows}
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_links_components(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "slot"), [(1024, 4096), (3, 20), (1024, 10)])
+def test_links_components(spark, chunk, slot, monkeypatch):
     monkeypatch.setattr(vectors, "CHUNK", chunk)
-    monkeypatch.setattr(vectors, "CELL", 10)
+    monkeypatch.setattr(vectors, "SLOT", slot)
+    monkeypatch.setattr(vectors, "CELL", 5)
     rng = np.random.default_rng(chunk)
     centres = rng.normal(size=(12, 8))
     rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.12).tolist(), i % 2) for i in range(240)]
@@ -40,18 +41,46 @@ def test_links_components(spark, chunk, monkeypatch):
         assert got == brute([(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v], lab) for i, v, lab in rows])
 
 
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.0], 0), (3, [1.0, 0.001], 0)]
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
 def test_empty_and_only_invalid(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in vectors.near_vectors(spark.createDataFrame([(1, None, 1)], schema)).collect()] == [(1, 0, 1, True)]
 
 
-def test_cells_come_in_rising_order():
+def test_traversal_in_rising_order():
     rng = np.random.default_rng(0)
-    a, b = rng.random(9), rng.random(7)
-    got = vectors.cells(a, b, 0.9)
-    sums = [a[i] + b[j] for i, j in got]
-    assert sums == sorted(sums) and len(got) == len(set(got)) == (a[:, None] + b <= 0.9).sum() or (a.min() + b.min() > 0.9 and not got)
+    first, second = rng.random((20, 9)), rng.random((20, 7))
+    q, i, j = vectors.traversed(first, second, 0.6)
+    assert set(zip(q.tolist(), i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(first[:, :, None] + second[:, None] <= 0.6)), strict=True))
+    for k in range(20):
+        sums = (first[q, i] + second[q, j])[q == k].tolist()
+        assert sums == sorted(sums)
+
+
+def test_slots_hold_runs_of_cells():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 9, 35)
+    slot = vectors.slots_of(counts, rng.normal(size=(7, 3)), rng.normal(size=(5, 3)), 20)
+    sizes = np.bincount(slot, counts)
+    assert len(slot) == 35 and sizes.max() < 20 + 9 and sizes.sum() == counts.sum()
+
+
+def test_the_grid_is_used_and_more_so_as_it_grows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.stack([r.embedding for r in rows.where("embedding is not null").collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    share = []
+    for k in (8, 56):
+        one, two = vectors.kmeans(x[:, :32], k), vectors.kmeans(x[:, 32:], k)
+        q, _, _ = vectors.traversed(vectors.margins(x[:, :32], one)[1], vectors.margins(x[:, 32:], two)[1], 0.04)
+        share.append(len(q) / len(x) / k**2)
+    assert share[1] < share[0] / 3
 
 
 def test_roots_of_paths_stars_and_loops(spark):
