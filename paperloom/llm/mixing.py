@@ -64,6 +64,16 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, repetitions: float =
     return max(low, min(GRID, max(0, limit))) / GRID
 
 
+def _order(seed: int, epoch: Column) -> Column:
+    """Where a document stands in an epoch's permutation."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _source() -> Column:
+    """A source's key: null is one too."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source").cast("string")))
+
+
 def mix(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPETITIONS, seed: int = 1, tokens: Column | None = None) -> DataFrame:
     """``docs``, all columns, each row as often as its source's weight asks, with ``__tokens``, ``__epoch``, ``__start`` and ``__block``.
 
@@ -71,7 +81,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPETITI
     source is a source.  Documents without tokens come once, in the block of their place.  Rows
     that repeat an id are documents of their own; an empty table gives no row.
     """
-    keyed = docs.withColumn("__source", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source").cast("string")))).withColumn("__tokens", words() if tokens is None else tokens)
+    keyed = docs.withColumn("__source", _source()).withColumn("__tokens", words() if tokens is None else tokens)
     small = written(keyed.groupBy("__source").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("documents")), "sources")
     power = exponent(small, entropy, repetitions)
     top = small.where("tokens > 0").agg(F.max("tokens").alias("most"), F.sum("documents").alias("documents")).first()
@@ -88,8 +98,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPETITI
     dealt = keyed.join(quotas, F.col("__source") == F.col("__of"))
     last = F.when(F.col("__all") > 0, F.floor((F.col("__quota") - 1) / F.greatest(F.col("__all"), F.lit(1)))).otherwise(0)
     each = dealt.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("__tokens") > 0, F.greatest(last, F.lit(0))).otherwise(0).cast("int"))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("__epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    each = each.withColumn("__order", order).withColumn("__range", F.floor(F.conv(F.substring("__order", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int"))
+    each = each.withColumn("__order", _order(seed, F.col("__epoch"))).withColumn("__range", F.floor(F.conv(F.substring("__order", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int"))
     within = Window.partitionBy("__source", "__epoch", "__range").orderBy("__order", "__tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("__s", "__e").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sums = each.groupBy(F.col("__source").alias("__s"), F.col("__epoch").alias("__e"), F.col("__range").alias("__r")).agg(F.sum("__tokens").alias("__sum"))
@@ -101,8 +110,28 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPETITI
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], "__tokens", "__epoch", "__start", block.cast("long").alias("__block"))
 
 
+def repeated_by_weight(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPETITIONS, seed: int = 1) -> DataFrame:
+    """``docs``, all columns, each row as often as ``mix`` takes it; texts stay where they are.
+
+    Only ids, sources and counts of tokens are sorted.  An epoch takes a source's documents up to
+    a place of its permutation, so a row needs no more than the last place of each epoch of its
+    source.  Rows that tie with that last place, which repeat its id, are all taken.  A null text,
+    and one without words, comes once; an empty table gives no row.
+    """
+    narrow = written(docs.select("doc_id", "source", words().alias("__n")), "narrow")
+    taken = mix(narrow, entropy, repetitions, seed, F.col("__n")).where("__tokens > 0")
+    last = taken.groupBy(_source().alias("__of"), "__epoch").agg(F.max(_order(seed, F.col("__epoch"))).alias("last"))
+    limits = written(last.groupBy("__of").agg(F.collect_list(F.struct(F.col("__epoch").alias("epoch"), "last")).alias("__limits")), "limits")
+    some = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    times = F.when(some, F.size(F.filter(F.coalesce("__limits", F.array().cast("array<struct<epoch:int,last:string>>")), lambda x: _order(seed, x["epoch"]) <= x["last"]))).otherwise(1)
+    both = docs.join(limits, _source() == F.col("__of"), "left").withColumn("__times", times)
+    return both.where("__times > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
+
+
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("n")), tokens=F.col("n"))
+    """``doc_id, source, epoch, n_tokens, start, block`` of each place that a document has in the mixed stream."""
+    narrow = written(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("n")), "narrow")
+    mixed = mix(narrow, tokens=F.col("n"))
     return mixed.select("doc_id", "source", F.col("__epoch").cast("int").alias("epoch"), F.col("__tokens").alias("n_tokens"), F.col("__start").alias("start"), F.col("__block").alias("block"))
 
 
