@@ -3,8 +3,9 @@
 A text's language family is predicted first, then one-versus-one linear support vector machines
 tell the languages of that family apart.  Features are hashed byte n-grams of the lower-cased
 text, as square roots of their shares.  The machines are fitted on a bounded sample of labelled
-rows (``SAMPLE_PER_LANGUAGE`` of each of at most ``MAX_LANGUAGES``); predictions see whole texts
-and nothing but the text.
+rows: ``SAMPLE_PER_LANGUAGE`` of each language, or an equal part of ``SAMPLE_ROWS`` where there are
+more languages than that allows, so none is left out.  Each pair of classes is fitted in a Spark
+task of its own on sparse rows.  Predictions see whole texts and nothing but the text.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table
+from paperloom.llm.common import table, written
 
 #: Families of languages by their ISO 639-1 codes; any other language is its own family.
 FAMILIES = {
@@ -28,7 +30,11 @@ FAMILIES = {
     "slavic": ["ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk", "bs"],
 }
 SAMPLE_PER_LANGUAGE = 600
-MAX_LANGUAGES = 64
+SAMPLE_ROWS = 38_400
+#: Rows of a language, at least, where there are very many.
+LEAST_ROWS = 8
+#: Rows of a class in a machine, at most: a family shares them among its languages.
+CLASS_ROWS = 2400
 BITS = 13
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
@@ -105,76 +111,97 @@ class LanguageModel:
         return out
 
 
-def fit_machine(x: np.ndarray, first: np.ndarray, names: tuple[str, str], c: float = 100.0, rounds: int = 12) -> Machine:
-    """A linear support vector machine by dual coordinate descent; every fifth row only sets the slope of its probability."""
+def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, names: tuple[str, str], c: float = 100.0, rounds: int = 12) -> Machine:
+    """A linear support vector machine on sparse ``rows`` (places, values) by dual coordinate descent; every fifth row only sets the slope of its probability."""
     y = np.where(first, 1.0, -1.0)
     rng = np.random.default_rng(7)
-    order = rng.permutation(len(x))
+    order = rng.permutation(len(rows))
     checks, train = order[::5], np.setdiff1d(order, order[::5]) if len(order) > 10 else order
-    w, bias, alpha = np.zeros(x.shape[1], dtype=np.float64), 0.0, np.zeros(len(x))
-    norm = (x.astype(np.float64) ** 2).sum(1) + 1.0
+    w, bias, alpha = np.zeros(1 << BITS, dtype=np.float64), 0.0, np.zeros(len(rows))
+    rows = [(at, value.astype(np.float64)) for at, value in rows]
+    norm = [float(value @ value) + 1.0 for _, value in rows]
     for _ in range(rounds):
-        for i in rng.permutation(train):
-            g = y[i] * (x[i] @ w + bias) - 1
+        for i in rng.permutation(train).tolist():
+            at, value = rows[i]
+            g = y[i] * (value @ w[at] + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), c)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w[at] += step * value
                 bias += step
                 alpha[i] = new
-    margin = y[checks] * (x[checks] @ w + bias)
+    margin = y[checks] * (np.array([rows[i][1] @ w[rows[i][0]] for i in checks]) + bias)
     slopes = np.array([0.5, 1, 2, 3, 4, 6, 8])
     loss = [np.log1p(np.exp(-np.clip(s * margin, -30, 30))).sum() for s in slopes]
     return Machine(*names, w.astype(np.float32), float(bias), float(slopes[int(np.argmin(loss))]))
 
 
-def _votes(x: np.ndarray, labels: np.ndarray) -> Votes:
-    out = Votes(sorted(set(labels.tolist())))
-    for a, b in combinations(out.classes, 2):
-        rows = np.flatnonzero((labels == a) | (labels == b))
-        out.machines.append(fit_machine(x[rows], labels[rows] == a, (a, b)))
-    return out
+def _sample(labelled: DataFrame, sample: int) -> tuple[list[str], DataFrame]:
+    """The languages, and ``lang, family, draw, at, value`` of the rows of each whose hash of ``key`` is least."""
+    rows = labelled.where("lang is not null and key is not null and text is not null")
+    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    each = max(LEAST_ROWS, min(sample, SAMPLE_ROWS // max(1, len(known))))
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = {lang: min(1 << 30, round((1 << 30) * (1.3 * each + 20) / n)) for lang, n in known.items()}
+        for batch in batches:
+            got = [(lang, draw_, text) for lang, draw_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if draw_ < share[lang] and _LETTER.search(text)]
+            x = [features(text) for _, _, text in got]
+            at = [np.flatnonzero(v) for v in x]
+            columns = [[g[0] for g in got], [_FAMILY.get(g[0], g[0]) for g in got], [g[1] for g in got], [a.astype("<u2").tobytes() for a in at], [v[a].tobytes() for v, a in zip(x, at, strict=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "family", "draw", "at", "value"])
+
+    drawn = rows.select("lang", draw.alias("draw"), F.col("text").cast("string").alias("text")).mapInArrow(measure, "lang string, family string, draw long, at binary, value binary")
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "at", "value"))
+    return sorted(known), written(drawn.withColumn("k", least).where(F.col("k") <= each), "sample")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learn from ``text, lang, key`` rows: ``sample`` of each language, those whose hash of ``key`` is least.
+    """Learn from ``text, lang, key`` rows.
 
-    Rows with a null language or key, or a text without letters, are left out.  Where a language
-    has more than ``MAX_LANGUAGES`` before it by rows, it is not learned.  Without any row the
-    model answers ``und`` for all.
+    Rows with a null language, key or text, or a text without letters, are left out; rows that
+    repeat a key are drawn together.  Without any row (as of an empty table) the model answers
+    ``und`` for all.
     """
-    rows = labelled.where("lang is not null and key is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in known:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, round((1 << 30) * 1.3 * sample / r["count"])))).otherwise(share)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(lang, draw_, features(text)) for lang, draw_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text and _LETTER.search(text)]
-            at = [np.flatnonzero(v) for _, _, v in got]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([g[2][a].tobytes() for g, a in zip(got, at, strict=True)], pa.binary())], names=["lang", "draw", "at", "value"])
-
-    drawn = rows.where(draw < share).select("lang", draw.alias("draw"), F.col("text").cast("string").alias("text"))
-    found = sorted(drawn.mapInArrow(measure, "lang string, draw long, at binary, value binary").collect(), key=lambda r: (r["lang"], r["draw"], r["at"], r["value"]))
-    x, labels, taken = [], [], {}
-    for r in found:
-        if taken.get(r["lang"], 0) < sample:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            v = np.zeros(1 << BITS, dtype=np.float32)
-            v[np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r["value"], dtype=np.float32)
-            x.append(v)
-            labels.append(r["lang"])
-    if not x:
+    _, drawn = _sample(labelled, sample)
+    languages = [r["lang"] for r in drawn.select("lang").distinct().collect()]
+    if not languages:
         return LanguageModel(Votes([]), {})
-    x, labels = np.stack(x), np.array(labels)
-    family = np.array([_FAMILY.get(lang, lang) for lang in labels])
-    return LanguageModel(_votes(x, family), {f: _votes(x[family == f], labels[family == f]) for f in sorted(set(family.tolist()))})
+    families: dict[str, list[str]] = {}
+    for lang in sorted(languages):
+        families.setdefault(_FAMILY.get(lang, lang), []).append(lang)
+    # A machine's rows: those of two families (level "", a family's rows shared among its languages), or of two languages of one.
+    jobs = [("", a, b) for a, b in combinations(sorted(families), 2)] + [(f, a, b) for f, langs in families.items() for a, b in combinations(langs, 2)]
+    machines: list[tuple[int, Machine]] = []
+    if jobs:
+        spark = labelled.sparkSession
+        sides = [(k, level, name, name == a) for k, (level, a, b) in enumerate(jobs) for name in (a, b)]
+        wanted = spark.createDataFrame(sides, "job int, level string, class string, first boolean")
+        part = {f: max(1, CLASS_ROWS // len(langs)) for f, langs in families.items()}
+        few = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])[F.col("family")]
+        upper = drawn.where(F.col("k") <= few).select(F.lit("").alias("level"), F.col("family").alias("class"), "draw", "at", "value")
+        inner = drawn.select(F.col("family").alias("level"), F.col("lang").alias("class"), "draw", "at", "value")
+
+        def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["class", "draw", "at", "value"], kind="stable")
+            x = [(np.frombuffer(a, dtype="<u2").astype(np.int64), np.frombuffer(v, dtype=np.float32)) for a, v in zip(rows["at"], rows["value"], strict=True)]
+            m = fit_machine(x, rows["first"].to_numpy(bool), ("", ""))
+            return pd.DataFrame({"job": [key[0]], "weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope]})
+
+        each = upper.unionByName(inner).join(wanted, ["level", "class"]).groupBy("job").applyInPandas(learn, "job int, weights binary, bias double, slope double")
+        for r in sorted(each.collect(), key=lambda r: r["job"]):  # a row for each pair of classes
+            machines.append((r["job"], Machine(*jobs[r["job"]][1:], np.frombuffer(r["weights"], dtype=np.float32), r["bias"], r["slope"])))
+    of = lambda level: [m for k, m in machines if jobs[k][0] == level]
+    return LanguageModel(Votes(sorted(families), of("")), {f: Votes(langs, of(f)) for f, langs in families.items()})
 
 
 def identify(docs: DataFrame, model: LanguageModel, language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the columns ``language`` and ``score``, which replace columns of those names; works on ``text`` only."""
+    """``docs`` with the columns ``language`` and ``score``, which replace columns of those names; works on whole ``text`` only.
+
+    A null or empty text, and one without a letter, is ``und`` with the score 0; repeated rows get
+    the same answer each, and an empty table gives no row.
+    """
     kept = [c for c in docs.columns if c.lower() not in (language.lower(), score.lower())]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(language, "string").add(score, "double")
     at = [c.lower() for c in kept].index("text")
@@ -199,6 +226,7 @@ def fit_on_documents(docs: DataFrame) -> LanguageModel:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(rows, fit_on_documents(docs)).select("doc_id", "held_out", "lang_pred", "score")

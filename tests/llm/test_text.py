@@ -174,6 +174,17 @@ def test_language_of_awkward_rows(documents):
     assert {r.lang_pred for r in langid.identify(documents(AWKWARD), empty).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(documents, monkeypatch):
+    """More languages than the whole sample has room for at full size."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 700)
+    random.seed(9)
+    words = {f"l{k}": ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(random.choices(words[lang], k=20)), lang, "s", 0) for i, lang in enumerate(list(words) * 12)]
+    docs = documents(rows)
+    told = langid.identify(docs, langid.fit(docs.selectExpr("text", "lang", "doc_id as key"), 600)).toPandas()
+    assert set(told["lang_pred"]) == set(words) and (told["lang"] == told["lang_pred"]).mean() > 0.9
+
+
 def brute_spans(text: str) -> list[tuple[str, int, int]]:
     find = lambda p: re.finditer(p, text)
     out = [("email", m.start(), m.end()) for m in find(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")]
@@ -186,6 +197,10 @@ def brute_spans(text: str) -> list[tuple[str, int, int]]:
 
 def test_base_spans_equal_the_patterns():
     random.seed(4)
+    long_ = "0" * 5000
+    for text in (f"{long_}1.1.1.1", f"1.{long_}.2.{long_}9", f"{long_}300.1.1.1 {'9' * 6000}", f"+{long_}", f"{'1.' * 4000}", f"a@{'b.' * 4000}c"):
+        assert [s[1:] for s in pii.base_spans(text) if s[0] == "ip"] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in m[0].split("."))]
+        assert all(pii.describe(text, s) for s in pii.candidates(text))
     for alphabet in ("a1@.%-+ 2(9", "0123456789 -.+", "a@.b1"):
         for _ in range(4000):
             text = "".join(random.choice(alphabet) for _ in range(random.randint(0, 45)))
