@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import shared_path, table, written
-from paperloom.llm.tokens import ByteBpe, default_vocabulary
+from paperloom.llm.tokens import ByteBpe, binaries, closed, default_vocabulary, together
 
 #: Longest code; 2 ** MAX_BITS must be at least the number of different ids.
 MAX_BITS = 16
@@ -159,17 +159,17 @@ def _tokenised(docs: DataFrame, end: int, vocabulary: str) -> DataFrame:
     """``doc_id, mix, tokens, low, high`` (a hash of the text, the ids' bytes) of each document, and from each task a row with its ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, tail, counts = ByteBpe.of(vocabulary), np.array([end], dtype="<u2").tobytes(), np.zeros(IDS, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.frombuffer(bpe.encode(t) + tail, dtype="<u2") for t in part.column(2).to_pylist()]
-                counts += np.bincount(np.concatenate(ids), minlength=IDS)
-                yield rows(part.column(0), part.column(1), [len(x) for x in ids], [(x & 255).astype(np.uint8).tobytes() for x in ids], [(x >> 8).astype(np.uint8).tobytes() for x in ids], [None] * len(ids))
-        yield rows(pa.array([None], pa.int64()), pa.array([None], pa.int64()), [None], [None], [None], [counts.astype("<i8").tobytes()])
-
-    def rows(doc: pa.Array, mix: pa.Array, *rest: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc, mix, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "mix", "tokens", "low", "high", "counts"])
+        bpe, counts = ByteBpe.of(vocabulary), np.zeros(IDS, dtype=np.int64)
+        for part in (x for batch in batches for x in together(batch, 2)):
+            ids, bounds = closed(*bpe.encode_all(part.column(2)), end)
+            counts += np.bincount(ids, minlength=IDS)
+            n = part.num_rows
+            yield rows(part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int32()), binaries((ids & 255).astype(np.uint8), bounds), binaries((ids >> 8).astype(np.uint8), bounds), pa.nulls(n, pa.binary()))
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]
+        yield rows(*none, pa.array([counts.astype("<i8").tobytes()], pa.binary()))
+
+    def rows(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "mix", "tokens", "low", "high", "counts"])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mix"), text.alias("text")).mapInArrow(run, "doc_id long, mix long, tokens int, low binary, high binary, counts binary")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import table
-from paperloom.llm.tokens import ByteBpe, default_vocabulary
+from paperloom.llm.tokens import ByteBpe, closed, default_vocabulary, together
 
 CAPACITY = 2048
 #: Documents that share a packing group, on average.
@@ -37,16 +37,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0,
     path = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ByteBpe.of(path), np.array([separator], dtype="<u4")
-        for batch in batches:
+        bpe = ByteBpe.of(path)
+        for part in (x for batch in batches for x in together(batch, 1)):
+            ids, bounds = closed(*bpe.encode_all(part.column(1)), separator)
+            wide = memoryview(ids.astype("<u4")).cast("B")
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([np.frombuffer(bpe.encode(text), dtype="<u2").astype("<u4"), end])
-                n = len(ids)
-                first = n - (math.ceil(n / capacity) - 1) * capacity
-                at = 0
-                for k, stop in enumerate(range(first, n + 1, capacity)):
-                    rows.append((doc, k, at, stop - at, zlib.crc32(ids[at:stop].tobytes())))
+            for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                first = (b - a) - (math.ceil((b - a) / capacity) - 1) * capacity
+                at = a
+                for k, stop in enumerate(range(a + first, b + 1, capacity)):
+                    rows.append((doc, k, at - a, stop - at, zlib.crc32(wide[4 * at : 4 * stop])))
                     at = stop
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -61,7 +61,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     """``(bin, offset)`` of each item, and the number of bins.
 
     Each bin is opened with the longest item that is left and filled greedily with the longest
-    that still fits.  While that leaves a gap, the bin's smallest item is exchanged for the two
+    that still fits.  If that leaves a gap, the bin's smallest item is exchanged, once, for the two
     unpacked items that fill the gap, as it is with that item gone, most tightly; only a
     tighter fill is taken.
     """
@@ -122,18 +122,19 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from 0.
 
-    ``length`` must be from 1 to ``capacity``.  Rows with equal keys and lengths may trade places.
+    ``length`` must be from 1 to ``capacity``.  Rows that repeat a key are dealt by all that they
+    hold, so a frequent or null id is no group of its own; rows alike in everything may trade places.
     """
     out = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
     kept = [f.name for f in out]
 
     def place(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*key, "length"], kind="stable", ignore_index=True)
+        rows = rows.sort_values([*key, *[c for c in kept if c not in key]], kind="stable", ignore_index=True)
         bins, offsets, _ = best_two_fit(rows["length"].to_numpy(np.int64), capacity)
         return rows[kept].assign(sequence_id=bins + (int(key_[0]) << 40), offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", sequence_id long, offset long"
-    dealt = pieces.select(*kept, F.pmod(F.xxhash64(*key), F.lit(groups)).alias("__group"))
+    dealt = pieces.select(*kept, F.pmod(F.xxhash64(*kept), F.lit(groups)).alias("__group"))
     return dealt.groupBy("__group").applyInPandas(place, schema)
 
 
@@ -142,9 +143,14 @@ def groups_for(docs: DataFrame) -> int:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every document of ``docs``; an empty table gives no row."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every document of ``docs``.
+
+    A null or empty text is its separator alone, a null id stays null, repeated rows are packed
+    each, a text of any length is cut and never shortened; an empty table gives no row.
+    """
     return pack(token_pieces(docs, capacity, separator, vocabulary), groups_for(docs), capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every document."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -34,6 +35,16 @@ def test_ids_are_the_librarys(tokenizer):
         assert np.frombuffer(bpe.encode(text), dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_many_texts_are_the_librarys():
+    library = Tokenizer.from_file(default_vocabulary())
+    random.seed(15)
+    texts = [None, "", " ", "a", " a", "a ", "\n ", " \n", "\n \nb", "it's 'll ''s o'clock 're's x 'd", "'s", "<|endoftext|>", "a <|endoftext|>'s", "x　 　y", "１２ ²Ⅻ ب٣", "😀😀 é'll", "w" * 5000, "a  b\n\n c\x1d\x1e d\x1f  "]
+    texts += ["".join(random.choice("  \n\tab'sletré1,😀　\x85\x1c\xa0Z") for _ in range(random.randint(0, 60))) for _ in range(3000)]
+    ids, lengths = ByteBpe.of(default_vocabulary()).encode_all(pa.array(texts).slice(3))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[3:]]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+
+
 def test_added_tokens_are_the_unmodified_librarys(documents, tmp_path):
     library = Tokenizer.from_file(default_vocabulary())
     texts = ["a <|endoftext|> b", "a<|endoftext|><|endoftext|>  b", "<|endoftext|>", " \n<|endoftext|>\n x", "<|endoftext|", "plain  text", "it's <|ENDOFTEXT|>"]
@@ -83,6 +94,14 @@ def test_packed_documents(documents, tokenizer):
     assert pack_documents(documents([])).count() == 0
 
 
+def test_packing_of_repeated_rows_and_ids(documents):
+    rows = [(4, "one two")] * 5 + [(4, f"text {i} " * i) for i in range(40)] + [(None, f"other {i}") for i in range(40)]
+    got = pack_documents(documents(rows)).toPandas()
+    assert len(got) == len(rows) and got["length"].sum() == sum(len(ByteBpe.of(default_vocabulary()).encode(t)) // 2 + 1 for _, t in rows)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= CAPACITY
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 1000), min_size=1, max_size=30), st.integers(5, 12))
 def test_code_is_a_prefix_code_of_bounded_length(weights, bits):
@@ -157,6 +176,27 @@ def test_separators_across_blocks_and_files(spark, tmp_path):
         assert [(r.start, r.n_tokens, r.closed) for r in got] == want
 
 
+def test_token_counts_do_not_depend_on_how_files_are_read(documents, spark, tmp_path):
+    random.seed(7)
+    rows = [(i, "word " * random.randint(0, 300)) for i in range(300)] + [(None, None), (5, "again"), (5, "again")]
+    path = str(tmp_path / "d")
+    documents(rows).repartition(5).write.parquet(path)
+    want = sorted((d or 0, len(ByteBpe.of(default_vocabulary()).encode(t)) // 2 + 1) for d, t in rows)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes") if spark.conf.get(k, None)}
+    try:
+        counted = token_counts(spark.read.parquet(path))  # its flat files are written now, the rest is read later
+        spark.conf.set("spark.sql.files.minPartitionNum", "13")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = counted.orderBy("start").collect()
+    finally:
+        for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert token_counts(documents([]).selectExpr("*", "1 as ordinal", "2 as part")).count() == 0
+
+
 def test_token_counts(documents, tokenizer, tmp_path):
     path = str(tmp_path / "d")
     documents(AWKWARD).repartition(3).write.parquet(path)
