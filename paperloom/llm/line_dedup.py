@@ -14,6 +14,8 @@ words is the union of the windows in it.
 * Extension: each joined pair grows line by line both ways, as far as the lines are the same by a
   digest of their texts (``DIGEST`` hexadecimal digits of SHA-256); hashes only propose.
 * Runs that have ``MIN_WORDS`` words then are deleted at the later place; the first stays.
+
+All tables that are joined grow with the corpus, so joins are merges of sorted rows at any size.
 """
 
 from __future__ import annotations
@@ -99,8 +101,8 @@ def _joined(lined: DataFrame) -> DataFrame:
     prints = written(marks.select("doc", "key", "v.*"), "prints")
     place = F.xxhash64("doc", "key", "at")
     repeated = prints.groupBy("m").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("m")
-    hits = prints.join(written(repeated, "repeated"), "m").groupBy("doc", "key").agg(F.collect_set("at").alias("hits"))
-    there = _stretches(lined.join(written(hits, "hits"), ["doc", "key"]), "w", "hs", "ds")
+    hits = prints.join(written(repeated, "repeated").hint("merge"), "m").groupBy("doc", "key").agg(F.collect_set("at").alias("hits"))
+    there = _stretches(lined.join(written(hits, "hits").hint("merge"), ["doc", "key"]), "w", "hs", "ds")
     mine = F.filter("hits", lambda x: (x >= F.col("base")) & (x < F.col("base") + F.size("w")))
     there = there.withColumn("hits", mine).where(F.size("hits") > 0)
     live = F.filter(_kept(_windows()), lambda x: F.array_contains("hits", x["at"]))
@@ -108,7 +110,7 @@ def _joined(lined: DataFrame) -> DataFrame:
     windows = written(there.select("doc", "key", F.explode(named).alias("v")).select("doc", "key", "v.*"), "windows")
     at = F.struct("doc", "key", "i")
     first = windows.groupBy("h", "g").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("h", "g", "low")
-    later = windows.join(written(first, "first"), ["h", "g"]).where(at > F.col("low"))
+    later = windows.join(written(first, "first").hint("merge"), ["h", "g"]).where(at > F.col("low"))
     lag = (F.col("i") - F.col("low.i")).alias("lag")
     return later.groupBy("doc", "key", F.col("low.doc").alias("doc0"), F.col("low.key").alias("key0"), lag).agg(F.min("i").alias("low"), F.max(F.col("i") + F.col("n") - 1).alias("high"))
 
@@ -121,12 +123,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     start = F.greatest(F.col("low") - REACH, F.col("lag"), F.lit(0))  # neither document has lines before its first
     names = written(joined.select("doc", "key").unionByName(joined.select(F.col("doc0").alias("doc"), F.col("key0").alias("key"))).distinct(), "names")
-    one = written(lined.select("doc", "key", "w", "ks", "ds").join(names, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]), "near", compression="zstd")
-    later = joined.withColumn("start", start).join(one, ["doc", "key"])
+    one = written(lined.select("doc", "key", "w", "ks", "ds").join(names.hint("merge"), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]), "near", compression="zstd")
+    later = joined.withColumn("start", start).join(one.hint("merge"), ["doc", "key"])
     cut = lambda c: F.slice(c, F.col("start") + 1, F.col("high") + (1 + REACH) - F.col("start")).alias(c)
     later = later.select("doc", "key", "doc0", "key0", "lag", "start", cut("w"), cut("ks"), cut("ds"))
     other = one.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("ds").alias("ds0"))
-    both = later.join(other, ["doc0", "key0"]).withColumn("ds0", F.slice("ds0", F.col("start") - F.col("lag") + 1, F.size("ds")))
+    both = later.join(other.hint("merge"), ["doc0", "key0"]).withColumn("ds0", F.slice("ds0", F.col("start") - F.col("lag") + 1, F.size("ds")))
     breaks = F.filter(F.sequence(F.lit(0), F.size("ds") - 1), lambda k: ~F.coalesce(F.get("ds", k) == F.get("ds0", k), F.lit(False)))
     ends = F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("ds")))
     both = both.withColumn("ends", ends)
@@ -147,7 +149,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = written(repeated_lines(docs), "gone")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    both = keyed.join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
+    both = keyed.join(gone.hint("merge"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
     both = both.withColumn("__raw", F.split("text", "\n"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), "__gone")
     kept = F.array_join(F.transform(stays, lambda k: F.get("__raw", k)), "\n")
