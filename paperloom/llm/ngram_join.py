@@ -19,6 +19,7 @@ a level the hash decides.  Two sets that link must share ``SHARED`` of the first
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
+   What is joined grows with the corpus, so these joins are merges of sorted rows at any size.
 3. Links make components.  If a forest pair turns out not to link, the groups that hold it are
    gone through pair by pair, so no link between different texts is lost.
 """
@@ -48,6 +49,8 @@ SKETCH_BITS = (17, 20)
 SKETCH_DOCUMENTS = 5
 #: A counter so many times above the mean (and above ``BLOCK``) marks its shingles as perhaps hot.
 HOT = 4
+#: Parts into which the classes of a shingle that may be hot are dealt.
+SALTS = 64
 #: Shingles that two linking sets share at least, in prefixes that are longer by one less.
 SHARED = 4
 #: Least bits of a parity bitmap; a set of n shingles has the next power of two from 2 n.
@@ -219,21 +222,20 @@ def _classes(docs: DataFrame, counters: int, seed: int) -> tuple[DataFrame, Data
 
 
 def _levels(sketch: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many times, as a power of two, a counter is above the mean (the order's upper key), and into how many parts the rows of its shingles are dealt."""
+    """How many times, as a power of two, a counter is above the mean (the order's upper key), and whether its shingles may be in more than ``BLOCK`` classes."""
     got, counts = sketch.toArrow(), np.zeros(counters, dtype=np.int64)  # as many rows as counters
     counts[got["at"].to_numpy()] = got["count"].to_numpy()
     mean = max(counts.mean(), 1.0)
-    parts = np.where(counts > max(BLOCK, HOT * mean), -(-counts // BLOCK), 0)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8), np.minimum(parts, 1 << 20).astype(np.int32)
+    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8), counts > max(BLOCK, HOT * mean)
 
 
-def _prefixes(docs: DataFrame, level: np.ndarray, parts: np.ndarray, seed: int) -> DataFrame:
-    """``key, part, n, cid``: the shingles of each class's prefix, once from each task that meets the class; ``part`` is 0 but for shingles that may be hot."""
+def _prefixes(docs: DataFrame, level: np.ndarray, hot: np.ndarray, seed: int) -> DataFrame:
+    """``key, n, cid``: the shingles of each class's prefix, once from each task that meets the class; ``n`` is negative for shingles that may be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for part in _chunks(batches, 0):
-            keys, where, names, sizes = [], [], [], []
+            keys, names, sizes = [], [], []
             for s in shingle_sets(part.column(0)):
                 cid = class_of(s, seed)
                 if len(s) and cid not in given:
@@ -245,15 +247,13 @@ def _prefixes(docs: DataFrame, level: np.ndarray, parts: np.ndarray, seed: int)
                     at = _counter(s, len(level))
                     key = (level[at].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                     first = np.argsort(key, kind="stable")[:take]
-                    dealt = parts[at[first]]
                     keys.append(key[first])
-                    where.append(np.where(dealt > 0, 1 + np.int64(cid) % np.maximum(dealt, 1), 0))
                     names.append(np.full(take, cid, dtype=np.int64))
-                    sizes.append(np.full(take, n, dtype=np.int32))
+                    sizes.append(np.where(hot[at[first]], -n, n).astype(np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(where).astype(np.int32)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names))], names=["key", "part", "n", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names))], names=["key", "n", "cid"])
 
-    return docs.select("text").mapInArrow(run, "key long, part int, n int, cid long")
+    return docs.select("text").mapInArrow(run, "key long, n int, cid long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -276,7 +276,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 
 
 def _met(few: int):  # noqa: ANN202
-    """Of ``key, part, n, cid`` in this order the rows that share a key with another class of similar length.
+    """Of ``key, n, cid`` in this order the rows that share a key with another class of similar length.
 
     ``grp`` is the group that compares them, or null in a row of a key of few classes.  Those of
     the latter are followed by its pairs: ``cid, other`` and the shingles ``need`` that they must share.
@@ -289,16 +289,16 @@ def _met(few: int):  # noqa: ANN202
 
     def cold(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            many = batch.column(1).to_numpy() > 0
+            many = batch.column(1).to_numpy() < 0
             if many.any():
                 x = batch.filter(pa.array(many))
-                passed.append(out(None, x.column(3).to_numpy(), hot=x.column(0).to_numpy()))
+                passed.append(out(None, x.column(2).to_numpy(), hot=x.column(0).to_numpy()))
                 batch = batch.filter(pa.array(~many))
             yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        for key, _, n, cid in _runs(cold(batches, passed)):
+        for key, n, cid in _runs(cold(batches, passed)):
             yield from passed
             passed.clear()
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (n[1:] != n[:-1])])
@@ -491,8 +491,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: np.n
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([ordered(s, level).tobytes() for s in sets], pa.binary())], names=["rep", "cid", "grams"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = texts.mapInArrow(run, "rep long, cid long, grams binary").join(needed, ["cid", "rep"]).select("cid", "grams")
-    grams = member.join(sets, "cid")
+    sets = texts.mapInArrow(run, "rep long, cid long, grams binary").join(needed.hint("merge"), ["cid", "rep"]).select("cid", "grams")
+    grams = member.hint("merge").join(sets, "cid")
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("cid")
@@ -524,8 +524,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         classes = written(each, "classes")
         if classes.where("not one").isEmpty():
             break
-    level, parts = _levels(sketch, counters)
-    prefixes = _prefixes(docs.where("doc_id is not null"), level, parts, seed).repartition("key", "part").sortWithinPartitions("key", "part", "n", "cid")
+    level, hot = _levels(sketch, counters)
+    prefixes = _prefixes(docs.where("doc_id is not null"), level, hot, seed).repartition("key", F.when(F.col("n") < 0, F.pmod("cid", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("key", "n", "cid")
     every = written(prefixes.mapInArrow(_met(FEW), "grp long, cid long, other long, need int, hot long"), "met")
     met = every.where("grp is not null").select("grp", "cid")
     if not every.where("hot is not null").isEmpty():
@@ -538,10 +538,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = lone.unionByName(met).groupBy("cid").agg(F.count_if(F.col("grp").isNull()).alias("alone"), F.slice(F.sort_array(F.collect_set("grp")), 1, FIRSTS).alias("firsts"), F.count("grp").alias("groups")).where("groups > 0")
     groups = groups.join(many, "cid", "left")
     enough = F.col("alone") + F.col("groups") + F.coalesce("hot", F.lit(0)) >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
-    known = written(classes.join(groups, "cid").where(enough).select("cid", "n", "bitmap", "firsts"), "known")
+    known = written(classes.join(groups.hint("merge"), "cid").where(enough).select("cid", "n", "bitmap", "firsts"), "known")
 
     def pairs(members: DataFrame, whole: bool, more: DataFrame | None = None) -> DataFrame:
-        there = members.join(known, "cid").select("grp", "n", "cid", "bitmap", "firsts").repartition("grp").sortWithinPartitions("grp", "n", "cid")
+        there = members.join(known.hint("merge"), "cid").select("grp", "n", "cid", "bitmap", "firsts").repartition("grp").sortWithinPartitions("grp", "n", "cid")
         found = there.mapInArrow(_similar(whole), "a long, b long, sure boolean")
         found = found if more is None else found.unionByName(more)
         return written(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
@@ -561,7 +561,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rooted = written(classes.select("cid", "rep").join(top, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "rep"), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     found = written(rooted.join(least, "root").select("cid", "component_id"), "found")
-    return shingled.join(found, "cid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return shingled.join(found.hint("merge"), "cid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
