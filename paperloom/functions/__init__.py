@@ -36,22 +36,20 @@ def wire(prefix: str, number: Column, width: int = 4) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Lower-case roman numeral of 1 to 3999."""
+    """Lower-case roman numeral of 1 to 3999; null for any other number."""
     left, parts = n.cast("int"), []
     for value, sign in ROMAN:
         parts.append(F.repeat(F.lit(sign), F.floor(left / value).cast("int")))
         left = left % value
-    return F.concat(*parts)
+    return F.when(n.between(1, 3999), F.concat(*parts))
 
 
 def letters(n: Column) -> Column:
-    """``a`` to ``z``, then ``aa``, ``ab`` and so on, of 1 to 18278."""
-    digit = lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (x % 26 + 1).cast("int"), F.lit(1))
-    n = n.cast("long")
-    last = digit(n - 1)
-    middle = F.when(n > 26, digit(F.floor((n - 27) / 26))).otherwise(F.lit(""))
-    first = F.when(n > 702, digit(F.floor((n - 703) / 676))).otherwise(F.lit(""))
-    return F.concat(first, middle, last)
+    """``a`` to ``z``, then ``aa``, ``ab`` and so on, for any number from 1 (14 letters are enough for a long); null below."""
+    digit = lambda left: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((left - 1) % 26 + 1).cast("int"), F.lit(1))
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    step = lambda a, _: F.when(a["left"] > 0, F.struct(F.floor((a["left"] - 1) / 26).cast("long").alias("left"), F.concat(digit(a["left"]), a["out"]).alias("out"))).otherwise(a)
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"]))
 
 
 def emu(value: Column, unit: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.registry import Tables, query
+from paperloom.sources.tables import written
+
+
+#: Seconds of a bucket of spans: about as long as they are.
+SPAN_BUCKET = 30 * 86400
 
 
 @query("SELECT o_orderkey, o_custkey, c_name, c_name IS NULL AS broken FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -26,21 +31,27 @@ def style_chain(t: Tables) -> DataFrame:
     """Each ancestor of a style along its based-on chain: nation, region, world; a cycle ends where it meets itself."""
     edges = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
     edges = edges.unionByName(t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("world").alias("parent")))
-    chain = ancestors(edges, 3)
+    chain = ancestors(edges)
     names = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("ancestor"), F.col("r_name").alias("name"))
     named = chain.join(names, "ancestor", "left").withColumn("base", F.coalesce("name", "ancestor"))
     return t.nation.join(named, F.concat(F.lit("n"), F.col("n_nationkey").cast("string")) == F.col("node")).select("n_nationkey", "n_name", "base", "steps")
 
 
-def ancestors(edges: DataFrame, most: int) -> DataFrame:
-    """``node, ancestor, steps`` along ``child, parent`` edges, ``most`` steps at most; a node that would come again ends the chain."""
-    step = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-    now = edges.where("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("steps"), F.array("child", "parent").alias("seen"))
-    out = now
-    for _ in range(most - 1):
-        now = now.join(step, F.col("ancestor") == F.col("__c")).where(~F.array_contains("seen", F.col("__p"))).select("node", F.col("__p").alias("ancestor"), (F.col("steps") + 1).alias("steps"), F.concat("seen", F.array("__p")).alias("seen"))
-        out = out.unionByName(now)
-    return out.drop("seen")
+def ancestors(edges: DataFrame) -> DataFrame:
+    """``node, ancestor, steps`` along ``child, parent`` edges, however long the chain; a node that would come again ends it.
+
+    Each round takes all chains a step further and is written, so that no round repeats another's
+    work; it ends when no chain goes on.
+    """
+    step = written(edges.where("child <> parent").select(F.col("child").alias("__c"), F.col("parent").alias("__p")), "edges")
+    now = written(step.select(F.col("__c").alias("node"), F.col("__p").alias("ancestor"), F.lit(1).cast("long").alias("steps"), F.array("__c", "__p").alias("seen")), "chains")
+    out = now.drop("seen")
+    while True:
+        onward = now.join(step, F.col("ancestor") == F.col("__c")).where(~F.array_contains("seen", F.col("__p")))
+        now = written(onward.select("node", F.col("__p").alias("ancestor"), (F.col("steps") + 1).alias("steps"), F.concat("seen", F.array("__p")).alias("seen")), "chains")
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now.drop("seen"))
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
@@ -79,11 +90,18 @@ def nearest(t: Tables) -> DataFrame:
 WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, o_orderdate + to_days(CAST(10 + o_orderkey % 30 AS INTEGER)) AS z FROM orders)
 SELECT x.o_custkey, x.o_orderkey AS one, y.o_orderkey AS other FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a < y.z AND y.a < x.z""")
 def span_overlap(t: Tables) -> DataFrame:
-    """Pairs of spans of one owner that overlap; half-open, so touching is none."""
+    """Pairs of spans of one owner that overlap; half-open, so touching is none.
+
+    Spans meet in buckets of time of their owner, and a pair counts in the bucket where the later
+    one begins, so an owner with many spans is as many keys as its time has buckets.
+    """
     s = t.orders.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), F.expr("o_orderdate + make_dt_interval(cast(10 + o_orderkey % 30 as int))").alias("z"))
-    x, y = s.alias("x"), s.alias("y")
-    on = (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.o_orderkey") < F.col("y.o_orderkey")) & (F.col("x.a") < F.col("y.z")) & (F.col("y.a") < F.col("x.z"))
-    return x.join(y, on).select(F.col("x.o_custkey"), F.col("x.o_orderkey").alias("one"), F.col("y.o_orderkey").alias("other"))
+    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / SPAN_BUCKET)
+    x = s.withColumn("bucket", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("z"))))).alias("x")
+    y = s.withColumn("bucket", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("z"))))).alias("y")
+    on = (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.o_orderkey") < F.col("y.o_orderkey")) & (F.col("x.a") < F.col("y.z")) & (F.col("y.a") < F.col("x.z"))
+    first = bucket(F.greatest("x.a", "y.a")) == F.col("x.bucket")
+    return x.join(y, on).where(first).select(F.col("x.o_custkey"), F.col("x.o_orderkey").alias("one"), F.col("y.o_orderkey").alias("other"))
 
 
 @query("WITH r AS (SELECT user_id, min(event_id) AS report FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT e.event_id, r.report FROM events e LEFT JOIN r ON e.user_id = r.user_id WHERE e.event_type = 'error'")

@@ -22,7 +22,7 @@ def plan_replacement(rows: DataFrame, find: str, to: str, occurrence: int | None
     targets = blocks(rows).where("story = 'M' and kind = 'paragraph'")
     targets = targets.where(F.col("wire").isin(*wires)) if wires else targets.where(F.contains("text", F.lit(find)))
     found = occurrences(F.col("text"), find)
-    text = nodes(rows).where("name = 't' and not in_del").where(F.contains("text", F.lit(find))).select("doc_id", "part", F.col("para_id").alias("node_id"), F.struct(F.col("node_id").alias("t"), F.col("text").alias("x")).alias("run"))
+    text = nodes(rows).where("name = 'w:t' and not in_del").where(F.contains("text", F.lit(find))).select("doc_id", "part", F.col("para_id").alias("node_id"), F.struct(F.col("node_id").alias("t"), F.col("text").alias("x")).alias("run"))
     runs = text.groupBy("doc_id", "part", "node_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
     both = targets.withColumn("matches", found).join(runs, ["doc_id", "part", "node_id"], "left")
     inside = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<t:int,x:string>>")), F.lit(0).cast("long"), lambda a, r: a + occurrences(r["x"], find))

@@ -3,7 +3,13 @@
 ``shred`` is the one Python stage: it opens each package's ZIP under quotas, parses its XML parts
 with document types refused, and gives parts, relationships and an ordered node tree.  What is
 wrong with a package is a row too; one bad package never fails the job.  Everything after it is
-DataFrame work (``paperloom.plans.packages``).
+DataFrame work (``paperloom.plans.packages``) over what ``shredded`` has written once: one table
+with a folder for each kind of row, so a relation reads its own rows and columns only.
+
+A node's name is ``w:p`` with a fixed prefix for its namespace, or the bare local name where the
+namespace has none here (``type`` has it in full); attributes are named alike.  Beside its parent
+a node names the nearest elements around it, itself included, so what stands inside of what is
+an equal key in later joins and never a range.
 """
 
 from __future__ import annotations
@@ -18,12 +24,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.sources.tables import written
+
 #: Admission limits: entries of a package, bytes of it unpacked, bytes of a part.
 MAX_ENTRIES = 10_000
 MAX_PACKAGE = 512 << 20
 MAX_PART = 128 << 20
 
-ROWS = "kind string, doc_id long, part string, name string, type string, target string, mode string, node_id int, end_id int, parent_id int, depth int, para_id int, block_id int, attrs map<string,string>, text string, in_ins boolean, in_del boolean, bytes binary"
+#: The formats' namespaces with their customary prefixes.
+PREFIXES = {
+    "http://schemas.openxmlformats.org/wordprocessingml/2006/main": "w",
+    "http://schemas.openxmlformats.org/officeDocument/2006/relationships": "r",
+    "http://schemas.openxmlformats.org/officeDocument/2006/math": "m",
+    "http://schemas.openxmlformats.org/drawingml/2006/main": "a",
+    "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing": "wp",
+    "http://schemas.openxmlformats.org/drawingml/2006/picture": "pic",
+    "http://schemas.microsoft.com/office/drawing/2016/SVG/main": "asvg",
+    "http://schemas.microsoft.com/office/word/2010/wordml": "w14",
+    "http://schemas.microsoft.com/office/word/2012/wordml": "w15",
+    "http://schemas.microsoft.com/office/word/2016/wordml/cid": "w16cid",
+    "http://schemas.openxmlformats.org/package/2006/relationships": "rel",
+    "http://schemas.openxmlformats.org/package/2006/content-types": "ct",
+}
+#: The nearest element of a name around a node (or the node itself), by column.
+AROUND = {"para_id": "w:p", "run_id": "w:r", "cell_id": "w:tc", "row_id": "w:tr", "table_id": "w:tbl", "control_id": "w:sdt", "math_id": "m:oMath", "comment_id": "w:comment", "link_id": "w:hyperlink", "drawing_id": "w:drawing", "del_id": "w:del"}
+
+ROWS = "kind string, doc_id long, part string, name string, type string, target string, mode string, node_id int, end_id int, parent_id int, up string, sibling int, depth int, block_id int, top_row int, top_cell int, " + ", ".join(f"{c} int" for c in AROUND) + ", attrs map<string,string>, text string, in_ins boolean, in_del boolean, bytes binary"
 _EMPTY = dict.fromkeys([c.split()[0] for c in ROWS.split(", ")])
 
 
@@ -61,18 +87,33 @@ def parse(data: bytes) -> list[dict]:
     open_: list[dict] = []
     parser = expat.ParserCreate(namespace_separator="}")
 
+    def short(ns: str, local: str) -> str:
+        return f"{PREFIXES[ns]}:{local}" if ns in PREFIXES else local
+
     def refuse(*_: object) -> None:
         raise Refused("E0006 document type declaration")
 
     def start(name: str, attrs: dict) -> None:
         ns, _, local = name.rpartition("}")
+        name = short(ns, local)
         up = open_[-1] if open_ else None
-        node = {"node_id": len(nodes), "end_id": len(nodes), "parent_id": up["node_id"] if up else None, "depth": len(open_), "name": local, "type": ns, "attrs": {k.rpartition("}")[2]: v for k, v in attrs.items()}, "text": ""}
-        node["in_ins"] = bool(up and (up["in_ins"] or up["name"] in ("ins", "moveTo")))
-        node["in_del"] = bool(up and (up["in_del"] or up["name"] in ("del", "moveFrom")))
-        node["para_id"] = node["node_id"] if local == "p" else up["para_id"] if up else None
-        top = local in ("p", "tbl", "sectPr") and up is not None and up["block_id"] is None
-        node["block_id"] = node["node_id"] if top else up["block_id"] if up else None
+        node = {"node_id": len(nodes), "end_id": len(nodes), "parent_id": None, "up": None, "sibling": 0, "depth": len(open_), "name": name, "type": ns, "attrs": {short(*k.rpartition("}")[::2]): v for k, v in attrs.items()}, "text": "", "in_ins": False, "in_del": False, "block_id": None, "top_row": None, "top_cell": None}
+        if up:
+            up["children"] += 1
+            node |= {"parent_id": up["node_id"], "up": up["name"], "sibling": up["children"], "block_id": up["block_id"], "top_row": up["top_row"], "top_cell": up["top_cell"]}
+            node["in_ins"] = up["in_ins"] or up["name"] in ("w:ins", "w:moveTo")
+            node["in_del"] = up["in_del"] or up["name"] in ("w:del", "w:moveFrom")
+            if name in ("w:p", "w:tbl", "w:sectPr") and up["holds"]:
+                node["block_id"] = node["node_id"]
+            elif name == "w:tr" and up["name"] == "w:tbl" and up["block_id"] == up["node_id"]:
+                node["top_row"] = node["node_id"]
+            elif name == "w:tc" and up["name"] == "w:tr" and up["top_row"] == up["node_id"]:
+                node["top_cell"] = node["node_id"]
+        for column, around in AROUND.items():
+            node[column] = node["node_id"] if name == around else up[column] if up else None
+        # What holds a story's blocks: the body, the root of another part, and revisions right inside of these.
+        node["holds"] = name == "w:body" or not up and name != "w:document" or bool(up and up["holds"] == 1 and name in ("w:ins", "w:del", "w:moveFrom", "w:moveTo")) * 2
+        node["children"] = 0
         nodes.append(node)
         open_.append(node)
 
@@ -86,10 +127,12 @@ def parse(data: bytes) -> list[dict]:
     parser.StartDoctypeDeclHandler, parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = refuse, start, end, text
     parser.buffer_text = True
     parser.Parse(data, True)
+    for node in nodes:
+        del node["children"], node["holds"]
     return nodes
 
 
-def package_rows(doc_id: int, content: bytes) -> Iterator[dict]:
+def package_rows(doc_id: int | None, content: bytes) -> Iterator[dict]:
     """All rows of a package; a refused one gives its diagnostic alone."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -97,10 +140,12 @@ def package_rows(doc_id: int, content: bytes) -> Iterator[dict]:
             if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_PACKAGE or any(e.file_size > MAX_PART for e in entries):
                 raise Refused("E0002 package exceeds its quota")
             parts: dict[str, bytes] = {}
+            lowered: set[str] = set()
             for e in entries:
                 name = safe_name(e.filename)
-                if name.lower() in map(str.lower, parts):
+                if name.lower() in lowered:
                     raise Refused(f"E0004 duplicate entry {name!r}")
+                lowered.add(name.lower())
                 with z.open(e) as f:
                     parts[name] = f.read(e.file_size + 1)
                 if len(parts[name]) != e.file_size:
@@ -117,7 +162,7 @@ def package_rows(doc_id: int, content: bytes) -> Iterator[dict]:
                 folder, _, leaf = name.rpartition("/_rels/")
                 source = f"{folder}/{leaf[:-5]}" if leaf != ".rels" else "/"
                 for n in parse(data):
-                    if n["name"] == "Relationship":
+                    if n["name"] == "rel:Relationship":
                         a = n["attrs"]
                         mode = a.get("TargetMode", "Internal")
                         out.append({"kind": "rel", "part": source, "name": a.get("Id"), "type": a.get("Type", "").rpartition("/")[2], "target": a.get("Target") if mode == "External" else resolve(source, a.get("Target", "")), "mode": mode})
@@ -125,23 +170,33 @@ def package_rows(doc_id: int, content: bytes) -> Iterator[dict]:
                 out += [{"kind": "node", "part": name, **n} for n in parse(data)]
     except Refused as e:
         out = [{"kind": "diag", "name": str(e).split()[0], "text": str(e)}]
-    except (zipfile.BadZipFile, expat.ExpatError, EOFError, OSError, ValueError) as e:
+    except Exception as e:  # whatever a damaged package makes the readers raise is said about that package
         out = [{"kind": "diag", "name": "E0001", "text": f"{type(e).__name__}: {e}"}]
     for row in out:
         yield {**_EMPTY, "doc_id": doc_id, **row}
 
 
 def shred(docs: DataFrame) -> DataFrame:
-    """``doc_id, content`` of packages to rows of parts, relationships, nodes and diagnostics; null content gives a diagnostic."""
+    """``doc_id, content`` of packages to rows of parts, relationships, nodes and diagnostics.
+
+    Null content, and bytes that are no package or a damaged, encrypted or too large one, give a
+    diagnostic alone; a null id stays null, repeated rows are shredded each, and an empty table
+    gives no row.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
-                rows = list(package_rows(int(doc_id), bytes(content or b"")))
+                rows = list(package_rows(None if pd.isna(doc_id) else int(doc_id), bytes(content or b"")))
                 for at in range(0, len(rows), 20_000):
                     yield pd.DataFrame(rows[at : at + 20_000], columns=list(_EMPTY), dtype=object)
 
-    return docs.select("doc_id", "content").mapInPandas(run, ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInPandas(run, ROWS)
+
+
+def shredded(docs: DataFrame) -> DataFrame:
+    """What ``shred`` gives, written once to the shared folder; every relation then starts from Parquet and no package is opened again."""
+    return written(shred(docs), "shredded", partition_by="kind")
 
 
 def read_packages(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:

@@ -6,16 +6,33 @@ import io
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from paperloom.plans import packages as P
-from paperloom.sources.packages import Refused, read_packages, resolve, safe_name, save, shred
+from paperloom.plans import rules as R
+from paperloom.sources.packages import PREFIXES, Refused, package_rows, read_packages, resolve, safe_name, save, shred, shredded
 from paperloom.streaming import watch_packages
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+#: The namespaces of the formats, as the library has them.
+W = " ".join(f'xmlns:{prefix}="{uri}"' for uri, prefix in PREFIXES.items())
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+#: The content types of a minimal package.
 TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """Plans of many steps over a handful of rows: one partition, nothing compiled, nothing planned anew."""
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def package(body: str, rels: str = "", extra: dict[str, bytes | str] | None = None) -> bytes:
     out = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
@@ -38,7 +55,7 @@ BODY = (
     + "<w:del w:id='7' w:author='Ann' w:date='2024-01-02T03:04:05Z'>" + p("Gone") + "</w:del>"
     + "<w:p><w:bookmarkStart w:id='1' w:name='mark'/><w:r><w:t>Two</w:t><w:tab/></w:r><w:ins w:id='8' w:author='Bob'><w:r><w:t>new</w:t></w:r></w:ins><w:bookmarkEnd w:id='1'/><w:hyperlink w:anchor='mark'><w:r><w:t>!</w:t></w:r></w:hyperlink><w:hyperlink r:id='rId9'/></w:p>"
     + "<w:tbl><w:tr><w:trPr><w:gridBefore w:val='1'/></w:trPr><w:tc><w:tcPr><w:gridSpan w:val='2'/></w:tcPr>" + p("a") + "</w:tc><w:tc>" + p("b") + "</w:tc></w:tr></w:tbl>"
-    + "<w:p><w:r><a:blip r:embed='rId5'/></w:r></w:p>"
+    + "<w:p><w:r><w:drawing><wp:anchor behindDoc='1'><wp:extent cx='914400' cy='360000'/><wp:wrapSquare/><wp:docPr id='1' name='Pic' descr='alt'/><pic:blipFill><a:blip r:embed='rId5'/><a:srcRect l='25000' t='10%'/></pic:blipFill></wp:anchor></w:drawing></w:r></w:p>"
 )
 
 
@@ -51,7 +68,7 @@ def rows(spark):
         z.writestr("[Content_Types].xml", TYPES)
         z.writestr("word/document.xml", '<!DOCTYPE x [<!ENTITY e "boom">]><x>&e;</x>')
     docs = [(1, bytearray(good)), (2, bytearray(bad)), (3, bytearray(b"no zip")), (4, bytearray(out.getvalue())), (5, None)]
-    return shred(spark.createDataFrame(docs, "doc_id long, content binary")).cache()
+    return shredded(spark.createDataFrame(docs, "doc_id long, content binary"))
 
 
 def test_blocks_keep_physical_ordinals(rows):
@@ -66,16 +83,22 @@ def test_cells_have_visual_columns(rows):
 
 
 def test_changes_links_images_bookmarks(rows):
-    assert [(r.kind, r.author) for r in P.changes(rows).where("doc_id = 1").orderBy("ord").collect()] == [("deletion", "Ann"), ("insertion", "Bob")]
+    assert [(r.kind, r.author) for r in P.changes(rows).where("doc_id = 1").orderBy("ord").collect()] == [("deleted-run", "Ann"), ("inserted-run", "Bob")]
     assert [(r.broken, r.anchors) for r in P.hyperlinks(rows).where("doc_id = 1").orderBy("node_id").collect()] == [(False, 1), (True, 0)]
-    assert [(r.media, r.size) for r in P.images(rows).collect()] == [("/word/media/i.png", 3)]
+    got = P.images(rows).collect()
+    assert [(r.media, r.size, r.layout, r.width, r.height, r.alt, r.wrap, r.behind, float(r.crop_l), float(r.crop_t), r.crop_r) for r in got] == [("/word/media/i.png", 3, "anchor", 914400, 360000, "alt", "wrapSquare", True, 25.0, 10.0, None)]
     assert [(r.bookmark, r.complete) for r in P.bookmarks(rows).where("doc_id = 1").collect()] == [("mark", True)]
 
 
 def test_rules(rows):
-    got = {(r.doc_id, r.code) for r in P.validate(rows).collect()}
-    assert {(2, "E9103"), (2, "E9104"), (2, "E0007"), (2, "W9116"), (3, "E0001"), (4, "E0006"), (5, "E0001"), (1, "W1012")} <= got
-    assert not any(d == 1 and c.startswith("E") for d, c in got)
+    got = {(r.doc_id, r.code) for r in R.validate(rows).collect()}
+    assert {(2, "E9103"), (2, "E9104"), (2, "E0007"), (3, "E0001"), (4, "E0006"), (5, "E0001"), (1, "W1015")} <= got
+    assert {c for d, c in got if d == 1 and c.startswith("E")} == {"E9121"}  # Bob's insertion has no date
+
+
+def test_relations_of_written_rows_open_no_package(rows):
+    for relation in (R.validate, P.cells, P.changes):
+        assert "MapInPandas" not in relation(rows)._jdf.queryExecution().toString()
 
 
 def test_round_trip(rows):
@@ -102,3 +125,31 @@ def test_files_and_stream(spark, tmp_path):
         watch_packages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert [r.text for r in P.blocks(rows).collect()] == ["Hi"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=300), st.integers(0, 400), st.binary(max_size=6))
+def test_damaged_packages_say_so(noise, at, patch):
+    whole = package(p("text"), extra={"word/x.xml": "<x/>" * 1})
+    assert any(r["kind"] == "node" for r in package_rows(1, whole))
+    for data in (noise, whole[:at], whole[:at] + patch + whole[at + len(patch) :], whole + noise):
+        assert all(r["kind"] in ("part", "rel", "node", "diag") for r in package_rows(None, data))
+
+
+def test_unknown_methods_and_locked_entries_are_refused():
+    whole = package(p("text"))
+    for offset, value in ((8, 99), (6, 1)):  # in the local header; in the directory two bytes further
+        data = bytearray(whole)
+        at = -1
+        while (at := data.find(b"PK\x03\x04", at + 1)) >= 0:
+            data[at + offset] = value
+        at = -1
+        while (at := data.find(b"PK\x01\x02", at + 1)) >= 0:
+            data[at + offset + 2] = value
+        assert [r["name"] for r in package_rows(1, bytes(data))] == ["E0001"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<x>" + "y" * 5000 + "</x>")
+    data = bytearray(out.getvalue())
+    data[60:70] = b"\xff" * 10
+    assert [r["name"] for r in package_rows(1, bytes(data))] == ["E0001"]
