@@ -41,11 +41,16 @@ def thread_summary(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turns", "replies", F.col("f.role").alias("first_role"), F.length("f.text").cast("long").alias("first_chars"), F.col("l.role").alias("last_role"))
 
 
-@query("SELECT text, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def duplicates(t: Tables) -> DataFrame:
-    """Texts that several documents have, with the documents."""
-    groups = t.documents.groupBy("text").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("at")).where("n > 1")
-    return groups.select("text", "n", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("ids"))
+    """Documents whose text others have too, with the least id of those and their number.
+
+    Texts meet by their digest (SHA-256), so none is shuffled; a text of very many documents is
+    counted before it is shuffled and is never one row or one list.
+    """
+    keyed = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
+    groups = keyed.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(groups, F.col("digest").eqNullSafe(F.col("d"))).select("doc_id", "first_id", "n")
 
 
 @query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS starts, count(*) FILTER (o_orderstatus = 'O') AS ends FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') <> count(*) FILTER (o_orderstatus = 'O')")

@@ -111,12 +111,12 @@ def op_annotate(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'error'").join(reports, "user_id", "left").select("event_id", "report")
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS n, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, coalesce(n, 0) AS n, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = k")
 def annotations(t: Tables) -> DataFrame:
-    """Each target with the list of its annotations."""
-    lists = t.orders.groupBy("o_custkey").agg(F.count("*").alias("k"), F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    both = t.customer.join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return both.select("c_custkey", F.coalesce("k", F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("keys", lambda x: x.cast("string")), ","), F.lit("")).alias("orders"))
+    """Each target with its annotations, a row for each (one with null for none) and their number; a target with very many is no longer row than others."""
+    counts = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    both = t.customer.join(counts, F.col("c_custkey") == F.col("k"), "left").join(t.orders.select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return both.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "o_orderkey")
 
 
 @query("SELECT DISTINCT l_partkey AS key FROM lineitem")
@@ -124,9 +124,9 @@ def distinct_keys(t: Tables) -> DataFrame:
     return t.lineitem.select(F.col("l_partkey").alias("key")).distinct()
 
 
-@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
 def except_keys(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("key")).subtract(t.lineitem.where("l_returnflag = 'R'").select("l_partkey"))
+    return t.part.select(F.col("p_partkey").alias("key")).subtract(t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select("l_partkey"))
 
 
 @query("SELECT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")

@@ -140,12 +140,13 @@ def uri_check(t: Tables) -> DataFrame:
 
 @query("""
 WITH RECURSIVE v(i, n, s) AS (SELECT 0, 1000, 'm' UNION ALL SELECT 1, 900, 'cm' UNION ALL SELECT 2, 500, 'd' UNION ALL SELECT 3, 400, 'cd' UNION ALL SELECT 4, 100, 'c' UNION ALL SELECT 5, 90, 'xc' UNION ALL SELECT 6, 50, 'l' UNION ALL SELECT 7, 40, 'xl' UNION ALL SELECT 8, 10, 'x' UNION ALL SELECT 9, 9, 'ix' UNION ALL SELECT 10, 5, 'v' UNION ALL SELECT 11, 4, 'iv' UNION ALL SELECT 12, 1, 'i'),
-r(p, i, n, s) AS (SELECT DISTINCT p_partkey, 0, CAST(p_partkey + 1 AS INTEGER), '' FROM part UNION ALL SELECT r.p, r.i + 1, r.n % v.n, r.s || repeat(v.s, r.n // v.n) FROM r JOIN v ON v.i = r.i)
-SELECT p AS p_partkey, s AS roman, CASE WHEN p + 1 > 702 THEN chr(CAST(97 + (p - 702) // 676 AS INTEGER)) ELSE '' END || CASE WHEN p + 1 > 26 THEN chr(CAST(97 + ((p - 26) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(97 + p % 26 AS INTEGER)) AS letters FROM r WHERE i = 13 AND p < 3999""")
+r(p, i, n, s) AS (SELECT DISTINCT p_partkey, 0, CAST(p_partkey + 1 AS INTEGER), '' FROM part UNION ALL SELECT r.p, r.i + 1, r.n % v.n, r.s || repeat(v.s, r.n // v.n) FROM r JOIN v ON v.i = r.i),
+l(p, n, s) AS (SELECT DISTINCT p_partkey, CAST(p_partkey + 1 AS BIGINT), '' FROM part UNION ALL SELECT p, (n - 1) // 26, chr(CAST(97 + (n - 1) % 26 AS INTEGER)) || s FROM l WHERE n > 0)
+SELECT p_partkey, CASE WHEN p_partkey + 1 BETWEEN 1 AND 3999 THEN r.s END AS roman, CASE WHEN p_partkey >= 0 THEN l.s END AS letters FROM part JOIN r ON r.p = p_partkey AND r.i = 13 JOIN l ON l.p = p_partkey AND l.n <= 0""")
 def roman_letters(t: Tables) -> DataFrame:
-    """Roman numerals and letters as list labels write them, for the numbers that have them."""
+    """Roman numerals and letters as list labels write them; null for a number that has none."""
     n = F.col("p_partkey") + 1
-    return t.part.where("p_partkey < 3999").select("p_partkey", roman(n).alias("roman"), letters(n).alias("letters"))
+    return t.part.select("p_partkey", roman(n).alias("roman"), letters(n).alias("letters"))
 
 
 @query("SELECT p_partkey, p_size * 36000 AS mm, p_size * 914400 AS inches, p_size * 12700 AS pt FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
