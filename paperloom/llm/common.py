@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.sources.tables import shared_path, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
+__all__ = ["shared_path", "table", "written"]
 
-    Where that is unset a session in one process gets a temporary folder; on a cluster it is an
-    error, since executors would each write to a disk of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="paperloom-"))
-    return f"{root.rstrip('/')}/paperloom/{what}-{uuid.uuid4().hex}"
 
-
-_LOCAL: dict[str, str] = {}
-
-
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later reads neither repeat its work nor need the executors that did it."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
