@@ -112,11 +112,17 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns; ``doc_id`` must be unique for this form."""
-    return docs.join(quality_verdicts(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """The rows of ``docs`` that are kept, all columns.
+
+    Rows that repeat an id, and those without one, stay or go together: they stay if one of them
+    is kept.  An empty table gives no row.
+    """
+    kept = quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import langid, line_dedup, mixing, ngram_join, pii, quality
 from tests.llm.conftest import AWKWARD
@@ -49,6 +50,23 @@ def test_lines_equal_their_sql(documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def test_filtering_by_quality_with_repeated_and_null_ids(documents):
+    rows = [(i, t, "en", "a", 0) for i, t in texts(3, 150)] + [(0, None, "en", "a", 0), (None, texts(3, 150)[0][1], "en", "a", 0), (None, "short", "en", "a", 0)]
+    docs = documents(rows).selectExpr("*", *EXTRA)
+    kept = {r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect()}
+    got = quality.filter_quality(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id or -1 for r in got.collect()) == sorted(-1 if r[0] is None else r[0] or -1 for r in rows if r[0] in kept)
+    assert quality.filter_quality(documents([])).count() == 0
+
+
+def test_lines_are_not_deleted_on_clashing_hashes(documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.length(line).cast("long"))
+    rows = [*texts(7, 40), *[(2000 + k, "\n".join(f"{'ab'[k % 2]}{w:03}" for w in range(60))) for k in range(4)]]
+    got = line_dedup.dedup_lines(documents(rows))
+    out = got.selectExpr("doc_id", "text", "cast(__lines as long) as n_lines", "cast(coalesce(size(__gone), 0) as long) as n_removed", "coalesce(array_join(transform(__gone, x -> cast(x as string)), ','), '') as removed")
+    same(out.toPandas(), line_dedup.OP7_SQL, pd.DataFrame(rows, columns=["doc_id", "text"]))
+
+
 def test_long_passage_goes_from_later_documents(documents):
     passage = " ".join(f"w{i}" for i in range(55))
     rows = [(1, f"start\n{passage}\nend"), (2, f"other\n{passage}"), (3, passage), (3, passage), (None, passage), (4, "w0 w1")]
@@ -124,6 +142,21 @@ def test_ngram_repeated_and_null_ids(documents):
     assert ngram_join.similar_documents(documents([])).count() == 0
 
 
+def test_ngram_names_of_classes_that_clash_are_given_anew(documents, monkeypatch):
+    real = ngram_join.class_of
+    monkeypatch.setattr(ngram_join, "class_of", lambda grams, seed=0: real(grams, seed) if seed else len(grams))
+    rows = [(i, f"w{i} " + " ".join(f"x{i % 3}{k}" for k in range(30))) for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_ngram_one_row_of_each(documents):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve one two"
+    rows = [(3, a)] * 3 + [(5, a)] + [(3, b), (None, a), (None, a), (8, None), (8, None), (9, "")]
+    got = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.first_of_each(documents(rows)).collect())
+    assert got == sorted([(3, a), (3, b), (0, a), (0, a), (8, ""), (9, "")])
+
+
 def short_copies(n: int) -> list[str]:
     words = [f"w{k}" for k in range(54)]
     return [" ".join(words[:30] + [f"changed{i}"] + words[31:]) for i in range(n)]
