@@ -128,8 +128,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     cut = lambda c: F.slice(c, F.col("start") + 1, F.col("high") + (1 + REACH) - F.col("start")).alias(c)
     later = later.select("doc", "key", "doc0", "key0", "lag", "start", cut("w"), cut("ks"), cut("ds"))
     other = one.select(F.col("doc").alias("doc0"), F.col("key").alias("key0"), F.col("ds").alias("ds0"))
-    both = later.join(other.hint("merge"), ["doc0", "key0"]).withColumn("ds0", F.slice("ds0", F.col("start") - F.col("lag") + 1, F.size("ds")))
-    breaks = F.filter(F.sequence(F.lit(0), F.size("ds") - 1), lambda k: ~F.coalesce(F.get("ds", k) == F.get("ds0", k), F.lit(False)))
+    both = later.join(other.hint("merge"), ["doc0", "key0"])
+    alike = F.zip_with("ds", F.slice("ds0", F.col("start") - F.col("lag") + 1, F.size("ds")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    breaks = F.filter(F.transform(alike, lambda x, k: F.when(~x, k)), lambda k: k.isNotNull())
     ends = F.concat(F.array(F.lit(-1)), breaks, F.array(F.size("ds")))
     both = both.withColumn("ends", ends)
     runs = F.transform(F.sequence(F.lit(0), F.size("ends") - 2), lambda j: F.struct((F.get("ends", j) + 1).alias("a"), (F.get("ends", j + 1) - F.get("ends", j) - 1).alias("n")))
