@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import nth_replaced, occurrences
 from paperloom.plans.packages import blocks, nodes, parts
+from paperloom.sources.packages import Refused
 
 
 def plan_replacement(rows: DataFrame, find: str, to: str, occurrence: int | None = None, wires: list[str] | None = None) -> DataFrame:
@@ -48,29 +49,61 @@ def apply_texts(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def replaced(data: bytes, texts: dict[int, str]) -> bytes:
-    """``data`` with the content of the elements of those numbers replaced."""
-    spans: dict[int, list[int]] = {}
+    """``data``, an XML part, with the content of the elements of those numbers (in document order) replaced.
+
+    All other bytes stay.  New text is written in the part's own encoding; an element whose new
+    text begins or ends with white space gets ``xml:space="preserve"``.  A part that has a document
+    type is refused, as the reader refuses it.
+    """
+    encoding = "utf-8"
+    spans: dict[int, dict] = {}
     open_: list[int] = []
     count = 0
     parser = expat.ParserCreate()
 
-    def start(*_: object) -> None:
+    def declared(_version: str, named: str | None, _standalone: int) -> None:
+        nonlocal encoding
+        if named and not named.lower().startswith("utf-16"):
+            encoding = named
+
+    def refuse(*_: object) -> None:
+        raise Refused("E0006 document type declaration")
+
+    def next_event(*_: object) -> None:
+        at = parser.CurrentByteIndex
+        for k in pending:
+            spans[k]["content"] = at
+        pending.clear()
+
+    pending: list[int] = []
+
+    def start(name: str, attrs: dict) -> None:
         nonlocal count
+        next_event()
         if count in texts:
-            spans[count] = [data.index(b">", parser.CurrentByteIndex) + 1, -1]
+            spans[count] = {"tag": parser.CurrentByteIndex, "name": name, "kept": "xml:space" in attrs}
+            pending.append(count)
         open_.append(count)
         count += 1
 
     def end(_: str) -> None:
+        next_event()
         k = open_.pop()
         if k in spans:
-            spans[k][1] = parser.CurrentByteIndex
+            spans[k]["end"] = parser.CurrentByteIndex
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.XmlDeclHandler, parser.StartDoctypeDeclHandler, parser.StartElementHandler, parser.EndElementHandler = declared, refuse, start, end
+    parser.CharacterDataHandler = parser.CommentHandler = parser.ProcessingInstructionHandler = parser.StartCdataSectionHandler = parser.DefaultHandler = next_event
     parser.Parse(data, True)
+    for mark, wide in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        encoding = wide if data.startswith(mark) else encoding
+    written = lambda text: text.encode(encoding, "xmlcharrefreplace")
     out, at = [], 0
-    for k, (a, b) in sorted(spans.items(), key=lambda s: s[1]):
-        if b >= a:
-            out += [data[at:a], escape(texts[k]).encode()]
-            at = b
+    for k, s in spans.items():
+        tag = data[s["tag"] : s["content"]].decode(encoding)
+        alone = tag.endswith("/>")
+        tag, tail = (tag[:-2].rstrip(), f"</{s['name']}>") if alone else (tag[:-1], "")
+        space = ' xml:space="preserve"' if texts[k] != texts[k].strip() and not s["kept"] else ""
+        out += [data[at : s["tag"]], written(f"{tag}{space}>{escape(texts[k])}{tail}")]
+        at = s["end"]
     return b"".join(out) + data[at:]

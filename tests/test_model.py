@@ -186,5 +186,5 @@ def test_one_relation_of_paragraphs_outline_context_and_selectors(rows):
     assert kinds == {"heading", "section", "control", "field", "equation"}
     assert [(r.offset, r.wire) for r in M.context(rows, ["M.P0002"]).where("doc_id = 1").orderBy("offset").collect()] == [(-1, "M.P0001"), (0, "M.P0002"), (1, "M.P0003")]
     assert {r.doc_id: (r.code, r.place) for r in M.select_heading(rows, "Head").collect()} == {1: ("ok", "M.P0001"), 2: ("E1201", None)}
-    assert {r.doc_id: r.code for r in M.select_control(rows, tag="out").collect()} == {1: "ok", 2: "E1201"} and {r.doc_id: r.code for r in M.select_bookmark(rows, "x").collect()} == {1: "E1201", 2: "E1201"}
+    assert {r.doc_id: r.code for r in M.select_control(rows, "out").collect()} == {1: "ok", 2: "E1201"} and {r.doc_id: r.code for r in M.select_bookmark(rows, "x").collect()} == {1: "E1201", 2: "E1201"}
     assert {r.doc_id: r.parts for r in M.package_sizes(rows).collect()} == {1: 9, 2: 4}
