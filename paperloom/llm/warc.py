@@ -19,6 +19,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import re
 import struct
 import uuid
@@ -357,8 +358,10 @@ def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
             f.close()
 
     tasks = max(1, spark.sparkContext.defaultParallelism)
-    spots = manifest.select("package").repartition(tasks).mapInArrow(locate, "package string, at long, size long")
-    dealt = spots.repartition("package", F.floor(F.col("at") / RANGE)).sortWithinPartitions("package", "at")
+    spots = written(manifest.select("package").repartition(tasks).mapInArrow(locate, "package string, at long, size long"), "spots")
+    # The rows are narrow, what they stand for is not: the number of tasks is that of the bytes to be read.
+    total = spots.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    dealt = spots.repartition(max(tasks, math.ceil(total / (4 * RANGE))), "package", F.floor(F.col("at") / RANGE)).sortWithinPartitions("package", "at")
     return dealt.mapInArrow(read, ", ".join(f"{c} {t}" for c, t in names.items()))
 
 
