@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -265,6 +266,39 @@ def test_rewritten_spans_are_accepted(documents):
         assert model.added(text, []) == []
 
 
+class AcceptsAll:
+    def score(self, x):
+        return 0.9 + 0.05 * (x[:, 1] % 2)
+
+
+def test_added_spans_equal_a_plain_search():
+    """Overlaps are looked up in marks; the plain search compares each candidate with each span."""
+    rng, model = random.Random(4), pii.PiiModel(AcceptsAll(), dict.fromkeys(pii.KINDS, 0.91))
+    pieces = ["10.1.2.3", " 10 . 1 . 2. 9", "a (at) b (dot) c", "x@y.de", "00 44 20 7946 0018", "4111 1111 1111 1111", "+1 (555) 123-4567", " ", ", ", "12 ", "3.4. "]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25)))
+        base = pii.base_spans(text)
+        new = [s for s in pii.candidates(text) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        taken = []
+        for s in sorted(new, key=lambda s: (-(0.9 + 0.05 * ((s[2] - s[1]) % 2)), s[1], pii.KINDS.index(s[0]), s[2])):
+            if (s[2] - s[1]) % 2 and pii.describe(text, s)[pii.FEATURES.index("check")] and not any(s[1] < b and a < s[2] for _, a, b in taken):
+                taken.append(s)
+        assert model.added(text, base) == taken, text
+
+
+def test_a_long_text_of_very_many_spans(documents):
+    """Five megabytes with some 300,000 spans take seconds, in the search and in the fit."""
+    line = "10.0.{a}.{b} GET /x{a} a{a}@host{b}.org 10 . 0 . {b} . 7 -> +49 30 12{a:04}{b:03}\n"
+    text = "".join(line.format(a=k % 256, b=k % 199) for k in range(75_000))
+    model, began = pii.PiiModel(AcceptsAll(), dict.fromkeys(pii.KINDS, 0.5)), time.time()
+    base = pii.base_spans(text)
+    found = model.added(text, base)
+    assert len(text) > 5e6 and len(base) >= 225_000 and len(found) >= 75_000 and time.time() - began < 60
+    began = time.time()
+    pii.fit(documents([(k, f"write to a{k}@b.org or 10.0.0.{k}") for k in range(60)] + [(99, text)]))
+    assert time.time() - began < 60
+
+
 def test_trees_learn_what_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, len(pii.FEATURES)))
