@@ -1,4 +1,4 @@
-"""Guarded text replacement over many packages, written back without touching other bytes."""
+"""Texts of packages written back without touching other bytes; what to write is planned by ``paperloom.plans.offsets``."""
 
 from __future__ import annotations
 
@@ -9,30 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import nth_replaced, occurrences
-from paperloom.plans.packages import blocks, nodes, parts
+from paperloom.plans.packages import parts
 from paperloom.sources.packages import Refused
 
 
-def plan_replacement(rows: DataFrame, find: str, to: str, occurrence: int | None = None, wires: list[str] | None = None) -> DataFrame:
-    """What replacing ``find`` would do to each main-story paragraph (or those of ``wires``): ``code`` and the new text of one text node.
-
-    None is E4203, several without ``occurrence`` E1202, a match across runs E4306, an equal
-    result I0001; the rest is ``ok``. A refused document changes nothing.
-    """
-    targets = blocks(rows).where("story = 'M' and kind = 'paragraph'")
-    targets = targets.where(F.col("wire").isin(*wires)) if wires else targets.where(F.contains("text", F.lit(find)))
-    found = occurrences(F.col("text"), find)
-    text = nodes(rows).where("name = 'w:t' and not in_del").where(F.contains("text", F.lit(find))).select("doc_id", "part", F.col("para_id").alias("node_id"), F.struct(F.col("node_id").alias("t"), F.col("text").alias("x")).alias("run"))
-    runs = text.groupBy("doc_id", "part", "node_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
-    both = targets.withColumn("matches", found).join(runs, ["doc_id", "part", "node_id"], "left")
-    inside = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<t:int,x:string>>")), F.lit(0).cast("long"), lambda a, r: a + occurrences(r["x"], find))
-    n = occurrence or 1
-    code = F.when(F.col("matches") < n, "E4203").when((F.col("matches") > 1) & F.lit(occurrence is None), "E1202").when((inside != F.col("matches")) | (F.size("runs") > 1), "E4306").when(F.lit(find == to), "I0001").otherwise("ok")
-    run = F.get("runs", 0)
-    return both.select("doc_id", "wire", "part", "matches", code.alias("code"), F.when(code == "ok", run["t"]).alias("node_id"), F.when(code == "ok", nth_replaced(run["x"], find, to, n)).alias("text"))
-
-
 def apply_texts(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """The parts of packages with the texts of ``edits`` (``doc_id, part, node_id, text``) in place of the old; bytes outside of them stay as they are."""
 
