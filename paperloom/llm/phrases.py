@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, written
+from paperloom.llm.common import FILTER_WORDS, hash_filter, in_filter, table, written
 
 MAX_WORDS = 4
 LEAST = 30
@@ -29,52 +29,41 @@ TOP = 2000
 SCALE = 2_000_000
 #: A phrase goes where a longer one around it has this percentage of its count.
 INSIDE = 80
-#: 64-bit words of the filter, at most and at least; it has about 32 bits for each frequent hash below that.
-FILTER_WORDS = (1 << 10, 1 << 20)
 #: Without a language.
 NONE = "und"
 
-PIECES = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
+#: What ends a piece, and what parts words in it.
+ENDS = ".,;:!?\n\x0b\x0c\r"
+BLANKS = " \t"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """``lang, words``: the words of each piece of each text, in order; pieces without words are left out."""
-    lower = F.translate(F.col("text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
-    each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), F.explode(F.split(lower, PIECES)).alias("piece"))
-    trimmed = each.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    return trimmed.select("lang", F.split("piece", BLANKS).alias("words"))
+    """``lang, words``: the words of each piece of each text, in order; pieces without words are left out.
+
+    One pass over the characters lowers letters and makes all ends line feeds and all blanks
+    spaces, so that both splits are by a single character.
+    """
+    plain = F.translate(F.col("text").cast("string"), string.ascii_uppercase + ENDS + BLANKS, string.ascii_lowercase + "\n" * len(ENDS) + " " * len(BLANKS))
+    each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"), F.explode(F.split(plain, "\n")).alias("piece"))
+    return each.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).where(F.size("words") > 0)
 
 
 def runs(docs: DataFrame, size: int = MAX_WORDS) -> DataFrame:
     """``lang, w1 ... w<size>``: a row for each word of each piece with those that follow it there."""
-    from_here = F.transform("words", lambda w, i: F.struct(w.alias("w1"), *[F.get("words", i + k).alias(f"w{k + 1}") for k in range(1, size)]))
-    return pieces(docs).select("lang", F.inline(from_here))
+    ahead = [F.slice("words", k, F.size("words")).alias(f"w{k}") for k in range(1, size + 1)]
+    return pieces(docs).select("lang", F.inline(F.arrays_zip(*ahead)))
 
 
 def _hash(*words: str) -> Column:
     return F.xxhash64("lang", *words)
 
 
-def _bits(h: str) -> Column:
-    """Two of the 64 bits of a hash's word in the filter."""
-    bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {shift}) & 63 as int))")
-    return bit(58).bitwiseOR(bit(52))
-
-
 def frequent_filter(docs: DataFrame, least: int = LEAST, most: int = FILTER_WORDS[1]) -> DataFrame:
     """``words``: one row, the filter of the words and pairs that occur ``least`` times or more in their language (clashing hashes count together)."""
-    first = pieces(docs)
-    singles = F.transform("words", lambda w: F.xxhash64("lang", w))
-    pairs = F.transform("words", lambda w, i: F.when(i + 1 < F.size("words"), F.xxhash64("lang", w, F.get("words", i + 1))))
-    hashes = first.select(F.explode(F.concat(singles, pairs)).alias("h")).where("h is not null")
+    first = runs(docs, 2).select(_hash("w1").alias("one"), F.when(F.col("w2").isNotNull(), _hash("w1", "w2")).alias("two"))
+    hashes = first.select(F.explode(F.array("one", "two")).alias("h")).where("h is not null")
     often = written(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"), "frequent")
-    size = 1 << max(0, math.ceil(math.log2(max(1, often.count() / 2))))
-    size = min(max(size, min(FILTER_WORDS[0], most)), most)
-    bits = often.select((F.col("h").bitwiseAND(F.lit(size - 1).cast("long"))).alias("at"), _bits("h").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    dense = docs.sparkSession.range(size).select(F.col("id").alias("at")).join(bits, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])  # ``size`` entries, a bound that does not grow
-    return written(dense.agg(whole.alias("words")), "filter")
+    return hash_filter(often, most)
 
 
 def phrase_counts(docs: DataFrame, size: int = MAX_WORDS, least: int = LEAST, most: int = FILTER_WORDS[1]) -> DataFrame:
@@ -88,8 +77,7 @@ def phrase_counts(docs: DataFrame, size: int = MAX_WORDS, least: int = LEAST, mo
     hashes = {**{f"h_{n}": F.when(F.col(n).isNotNull(), _hash(n)) for n in names[:1]}, **{f"h_{b}": F.when(F.col(b).isNotNull(), _hash(a, b)) for a, b in zip(names, names[1:], strict=False)}}
     rows = rows.withColumns(hashes)
     rows = rows.withColumn("filter", passed)
-    inside = lambda h: F.coalesce(F.get("filter", F.expr(f"cast({h} & (size(filter) - 1) as int)")).bitwiseAND(_bits(h)) == _bits(h), F.lit(False))
-    rows = rows.select("lang", *names, *[inside(h).alias(h) for h in hashes])
+    rows = rows.select("lang", *names, *[in_filter("filter", h).alias(h) for h in hashes])
     each, ok = [F.lit("")], F.lit(True)
     for k in range(1, size + 1):
         ok = F.col(f"h_w{k}") if k < 3 else ok & F.col(f"h_w{k}")
