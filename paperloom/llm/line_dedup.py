@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, written
+from paperloom.llm.common import hash_filter, in_filter, table, written
 
 MIN_WORDS = 50
 SPACE = " \t\n\x0b\x0c\r"
@@ -140,22 +140,31 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``, and ``__lines``, ``__gone`` (the numbers of the deleted lines; null if none).
+def dedup_lines(docs: DataFrame, count: str = "__lines", deleted: str = "__gone") -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``, and the columns ``count`` (its lines before) and ``deleted`` (the numbers of the deleted lines; null if none).
 
     A null or empty text, a row without ``doc_id`` and documents of fewer than ``MIN_WORDS``
     words are never changed.  Rows that repeat both id and text are one document, rows that
     repeat only the id come in the order of their texts' hashes.  Order of lines is kept; an
-    empty table gives no row; further columns pass through.
+    empty table gives no row; further columns pass through, whatever their names, but for those
+    that ``count`` and ``deleted`` replace.
+
+    Rows with deletions are looked up by a merge of sorted rows, since they grow with the corpus;
+    a filter of bounded size first lets those pass that surely have none, whose texts stay where
+    they are.
     """
-    gone = written(repeated_lines(docs), "gone")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    both = keyed.join(gone.hint("merge"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left")
-    both = both.withColumn("__raw", F.split("text", "\n"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), "__gone")
-    kept = F.array_join(F.transform(stays, lambda k: F.get("__raw", k)), "\n")
-    lines = F.when(F.col("text").isNotNull(), F.size("__raw")).otherwise(0)
-    return both.select(*[F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], lines.alias("__lines"), "__gone")
+    gone = written(repeated_lines(docs.select("doc_id", "text")), "gone")
+    known = hash_filter(written(gone.select(F.xxhash64("__doc", "__key").alias("h")), "changed")).select("words").scalar()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
+    whole = whole.withColumn("h", F.when(F.col("id").isNotNull() & F.col("text").isNotNull(), F.xxhash64("id", "hash"))).withColumn("filter", known)
+    whole = whole.withColumn("maybe", in_filter("filter", "h")).drop("filter", "h")
+    none = F.lit(None).cast(gone.schema["__gone"].dataType)
+    some = whole.where("maybe").join(gone.hint("merge"), (F.col("id") == F.col("__doc")) & (F.col("hash") == F.col("__key")), "left").select("row", "text", F.col("__gone").alias("gone"))
+    both = whole.where("not maybe").select("row", "text", none.alias("gone")).unionByName(some).withColumn("raw", F.split("text", "\n"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), "gone")
+    kept = F.array_join(F.transform(stays, lambda k: F.get("raw", k)), "\n")
+    lines = F.when(F.col("text").isNotNull(), F.size("raw")).otherwise(0)
+    return both.select(*[F.when(F.col("gone").isNotNull(), kept).otherwise(F.col(f"row.`{c}`")).alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (count, deleted)], lines.alias(count), F.col("gone").alias(deleted))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
