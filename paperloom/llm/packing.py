@@ -122,8 +122,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from 0.
 
-    ``length`` must be from 1 to ``capacity``.  Rows that repeat a key are dealt by all that they
-    hold, so a frequent or null id is no group of its own; rows alike in everything may trade places.
+    ``length`` must be from 1 to ``capacity``.  Rows are dealt by all that they hold and by their
+    place in their partition, so neither a frequent or null id nor rows alike in everything, of
+    which there may be millions, are a group of their own; the latter may trade places.
     """
     out = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
     kept = [f.name for f in out]
@@ -134,7 +135,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, key: tuple[st
         return rows[kept].assign(sequence_id=bins + (int(key_[0]) << 40), offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", sequence_id long, offset long"
-    dealt = pieces.select(*kept, F.pmod(F.xxhash64(*kept), F.lit(groups)).alias("__group"))
+    dealt = pieces.select(*kept, F.pmod(F.xxhash64(*kept, F.monotonically_increasing_id()), F.lit(groups)).alias("__group"))
     return dealt.groupBy("__group").applyInPandas(place, schema)
 
 
