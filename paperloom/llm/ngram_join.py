@@ -13,9 +13,9 @@ a level the hash decides.  Two sets that link must share ``SHARED`` of the first
    needs, with a parity bitmap that bounds how much two sets differ; a set of ``SHORT`` shingles
    at most comes with their lower halves instead, which tell how much two such sets differ.  A
    group yields a spanning forest of its surely similar sets and every doubtful pair between its
-   trees; of two short sets no pair is doubtful.  A shingle whose counter is so high that it may
-   have more than ``BLOCK`` classes is dealt by its classes too, counted exactly, and goes on in
-   pairs of blocks, so no task meets all rows of a shingle.
+   trees; of two short sets no pair is doubtful.  A shingle whose counter exceeds ``BLOCK``, so
+   that it may have more classes, is dealt by its classes too, counted exactly, and goes on in
+   pairs of blocks, so no task meets more than ``BLOCK`` rows of a shingle, whatever the mean.
 2. The pairs are verified by their sets: the sets to compare with one set stand in a prefix tree
    in global order.  The walk shares the overlap of a common path, and leaves a subtree when
    what has not matched exceeds what the lengths allow.
@@ -47,8 +47,6 @@ PERCENT = 80
 #: The corpus sketch has a counter for ``2 ** SKETCH_DOCUMENTS`` documents, but between ``2 **`` these.
 SKETCH_BITS = (17, 20)
 SKETCH_DOCUMENTS = 5
-#: A counter so many times above the mean (and above ``BLOCK``) marks its shingles as perhaps hot.
-HOT = 4
 #: Parts into which the classes of a shingle that may be hot are dealt.
 SALTS = 64
 #: Shingles that two linking sets share at least, in prefixes that are longer by one less.
@@ -226,7 +224,7 @@ def _levels(sketch: DataFrame, counters: int) -> tuple[np.ndarray, np.ndarray]:
     got, counts = sketch.toArrow(), np.zeros(counters, dtype=np.int64)  # as many rows as counters
     counts[got["at"].to_numpy()] = got["count"].to_numpy()
     mean = max(counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8), counts > max(BLOCK, HOT * mean)
+    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 62).astype(np.uint8), counts > BLOCK
 
 
 def _prefixes(docs: DataFrame, level: np.ndarray, hot: np.ndarray, seed: int) -> DataFrame:
