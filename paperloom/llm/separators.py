@@ -10,6 +10,7 @@ their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ END = 0xC480
 SEPARATOR = END.to_bytes(2, "big").decode()
 #: Ids of a block.
 BLOCK = 1 << 20
-#: Ranges of file names that a scan over files is cut into.
+#: Files of a range of names, and ranges at most, that a scan over files is cut into.
+RANGE_FILES = 1000
 FILE_RANGES = 256
 
 
@@ -92,8 +94,10 @@ def count_tokens(spark: SparkSession, path: str, end: int = END, block: int = BL
     within = within.withColumn("last", F.max(F.col("before") + last).over(upto))
     sums = within.groupBy("file").agg(F.sum("ids").alias("f_ids"), F.sum(F.size("ends")).alias("f_docs"), F.max(F.col("before") + last).alias("f_last"))
 
-    # Over the files: within ranges of names, and over the ranges, of which there are FILE_RANGES at most.
-    files = written(sums.repartitionByRange(FILE_RANGES, "file").withColumn("r", F.spark_partition_id()), "files")
+    # Over the files: within ranges of names, and over the ranges, of which there are ``FILE_RANGES`` at most.
+    sums = written(sums, "sums")
+    ranges = min(FILE_RANGES, max(1, math.ceil(sums.count() / RANGE_FILES)))
+    files = written(sums.repartitionByRange(ranges, "file").withColumn("r", F.spark_partition_id()), "files")
     upto = Window.partitionBy("r").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     inner = files.withColumn("base", F.coalesce(F.sum("f_ids").over(upto), F.lit(0)))
     inner = inner.withColumn("carry", F.max(F.col("base") + F.col("f_last")).over(upto))
@@ -125,8 +129,12 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long")
     path = shared_path(spark, "flat")
     write_flat(docs, path, vocabulary)
-    part = lambda c: F.regexp_extract(c, r"part-(\d+)", 1).cast("int").alias("part")
-    found = count_tokens(spark, f"{path}/kind=ids").select(part(F.col("file")), "ordinal", "start", "n_tokens")
+    # Where files have a limit of rows a task writes several, by number; documents are counted through all of them.
+    part, number = (lambda c: F.regexp_extract(c, r"([^/]+?)(\.c\d+)?\.[^./]+$", 1).alias("part")), F.regexp_extract("file", r"\.c(\d+)\.[^./]+$", 1).try_cast("int")
+    found = written(count_tokens(spark, f"{path}/kind=ids").withColumn("part", part(F.col("file"))).withColumn("number", number), "found")
+    upto = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    base = found.groupBy("part", "number").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(F.col("part").alias("p"), F.col("number").alias("c"), "base")
+    found = found.join(base, (F.col("part") == F.col("p")) & F.col("number").eqNullSafe(F.col("c"))).select("part", (F.col("ordinal") + F.col("base")).alias("ordinal"), "start", "n_tokens")
     lines = spark.read.schema("value string").option("lineSep", SEPARATOR).text(f"{path}/kind=places").select(part(F.col("_metadata.file_name")), F.split("value", ",").alias("v"))
     places = lines.select("part", F.col("v")[0].cast("long").alias("ordinal"), F.when(F.col("v")[1] != "", F.col("v")[1].cast("long")).alias("doc_id"))
     both = places.withColumn("placed", F.lit(True)).join(found, ["part", "ordinal"], "full")

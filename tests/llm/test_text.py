@@ -134,6 +134,28 @@ def test_ngram_doubted_forest_is_done_again(documents, monkeypatch):
     assert got == want
 
 
+def test_ngram_shingles_are_hot_by_their_classes_whatever_the_mean(documents, monkeypatch):
+    """Counters far above ``BLOCK`` on average: every shingle is dealt by classes, and the links are the same."""
+    sketch = documents([(1, "x")]).sparkSession.createDataFrame([(k, 5000 + k) for k in range(16)] + [(16, 4096), (17, 3)], "at int, count long")
+    assert ngram_join._levels(sketch, 18)[1].tolist() == [True] * 16 + [False, False]
+    rows = [(i, " ".join(f"w{(i // 7) * 50 + k}" for k in range(40 - i % 7 % 4)) + " and so on for all") for i in range(60)]
+    plain = sorted(map(tuple, ngram_join.similar_documents(documents(rows)).collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", (4, 4))
+    assert sorted(map(tuple, ngram_join.similar_documents(documents(rows)).collect())) == plain and len({r[2] for r in plain}) < 60
+
+
+def test_lines_with_clashing_columns(documents):
+    """Columns of the names that the work uses pass through."""
+    passage = "\n".join(f"line {k} of a passage with some words in it" for k in range(9))
+    rows = documents([(1, passage), (2, f"own words\n{passage}\nmore"), (3, None), (4, "short")])
+    names = ["__doc", "__key", "__id", "__hash", "__raw", "row", "gone", "raw", "h", "filter", "maybe", "id", "hash"]
+    got = line_dedup.dedup_lines(rows.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)], F.lit("mine").alias("__gone")), deleted="cut")
+    assert got.columns == [*rows.columns, *names, "__gone", "__lines", "cut"]
+    found = {r.doc_id: (r.text, r["__lines"], r["cut"], r["__gone"], [r[n] for n in names]) for r in got.collect()}
+    assert found[2][:4] == ("own words\nmore", 11, list(range(1, 10)), "mine") and found[1][:3] == (passage, 9, None) and found[3][:3] == (None, 0, None) and found[4][4] == list(range(13))
+
+
 def test_ngram_repeated_and_null_ids(documents):
     same_ = "one two three four five six seven"
     rows = [(5, same_), (5, same_), (3, same_), (None, same_), (9, "else")]

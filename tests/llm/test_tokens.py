@@ -102,6 +102,28 @@ def test_packing_of_repeated_rows_and_ids(documents):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= CAPACITY
 
 
+def test_rows_alike_in_everything_are_no_group_of_their_own(spark):
+    from paperloom.llm.packing import pack
+
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "0 piece", "cast(100 as long) length").repartition(4)
+    got = pack(rows, 16).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["sequence_id"] >> 40, []).append(r["offset"])
+    assert len(got) == 4000 and len(groups) == 16 and max(map(len, groups.values())) < 400
+
+
+def test_token_counts_with_several_files_of_a_task(documents, spark, tokenizer):
+    """With a limit on the rows of a file a task writes several: their whole names tell them apart."""
+    rows = [(k, f"text {k} " * (k % 5)) for k in range(60)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts(documents(rows).repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in rows}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 1000), min_size=1, max_size=30), st.integers(5, 12))
 def test_code_is_a_prefix_code_of_bounded_length(weights, bits):
