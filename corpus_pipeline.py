@@ -43,9 +43,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id or a text are not changed; rows that repeat both are one document.
     """
-    clean = dedup_lines(docs)
-    left = F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return clean.where(left).select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    free = "__" + "_".join(docs.columns)  # a name that no column has
+    clean = dedup_lines(docs, f"{free}_lines", f"{free}_gone")
+    unchanged = F.col(f"`{free}_gone`").isNull()
+    left = unchanged | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return clean.where(left).select(*[F.when(unchanged, F.col(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
