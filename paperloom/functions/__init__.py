@@ -21,6 +21,15 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, cut).otherwise(text)
 
 
+#: Characters that are shown as two, the backslash first.
+SHOWN = [("\\", "\\\\"), ('"', '\\"'), ("\r", "\\r"), ("\n", "\\n"), ("\t", "\\t")]
+
+
+def escaped(text: Column) -> Column:
+    """``text`` on one line between quotes: quotes, backslashes, line ends and tabs as two characters each."""
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SHOWN, text)
+
+
 def normalized(text: Column) -> Column:
     """White space runs (by Unicode) as one blank, none at the ends."""
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions import FIELD_POLICY, contains_any_case, emu, letters, normalized, roman, truncated, valid_uri, wire
+from paperloom.functions import FIELD_POLICY, contains_any_case, emu, escaped, letters, normalized, roman, truncated, valid_uri, wire
 from paperloom.operators.registry import Tables, query
 from paperloom.plans import blocks, wrapper
 
@@ -157,3 +157,9 @@ def unit_to_emu(t: Tables) -> DataFrame:
 
 
 __all__ = ["BLOCKS", "find", "wire", "wrapped"]
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(html, '\', '\\'), '"', '\"'), chr(13), '\r'), chr(10), '\n'), chr(9), '\t') AS shown FROM pages""")
+def escaped_text(t: Tables) -> DataFrame:
+    """Markup as it is shown on one line."""
+    return t.pages.select("page_id", escaped(F.col("html")).alias("shown"))

@@ -153,3 +153,33 @@ def test_unknown_methods_and_locked_entries_are_refused():
     data = bytearray(out.getvalue())
     data[60:70] = b"\xff" * 10
     assert [r["name"] for r in package_rows(1, bytes(data))] == ["E0001"]
+
+
+def test_a_large_part_is_streamed():
+    """What a task holds of a part of 12 MB is its bytes, for their own row, and batches: no list of its elements."""
+    import tracemalloc
+
+    from paperloom.sources.packages import BATCH, package_batches
+
+    data = package("<w:p><w:r><w:t>some words</w:t></w:r></w:p>" * 280_000)
+    tracemalloc.start()
+    rows, most = 0, 0
+    for batch in package_batches(1, data):
+        rows, most = rows + batch.num_rows, max(most, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 3 * 280_000 and most <= BATCH and peak < 60 << 20
+
+
+def test_kinds_that_are_not_asked_for_are_not_made(spark):
+    one, bad = package(p("x"), f'<Relationship Id="rId1" Type="{REL}/image" Target="a.png"/>'), package("<w:p>")
+    rows = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(bad)), (None, None)], "doc_id long, content binary")
+    got = [(r.doc_id, r.kind, r.name) for r in shred(rows, ["rel"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "rel", "rId1"), (1, "rel", "rId1"), (2, "diag", "E0001"), (None, "diag", "E0001")], key=str)
+
+
+def test_declared_sizes_are_checked_while_streaming():
+    data = bytearray(package(p("x" * 5000)))
+    at = data.rfind(b"PK\x01\x02", 0, data.rfind(b"word/document.xml"))
+    data[at + 24 : at + 28] = (10).to_bytes(4, "little")  # the directory says that the part is shorter
+    assert [r["name"] for r in package_rows(1, bytes(data))][0] in ("E0001", "E0002")
