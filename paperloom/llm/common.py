@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.sources.tables import shared_path, written
 
-__all__ = ["hash_filter", "in_filter", "shared_path", "table", "written"]
+__all__ = ["hash_filter", "in_filter", "release", "shared_path", "table", "written"]
 
 #: 64-bit words of a filter, at least and at most.
 FILTER_WORDS = (1 << 10, 1 << 20)
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that a task has done with back to the system: Python workers live on, and hold what they once needed beside the work of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def _bits(h: str) -> Column:
     """Two of the 64 bits of a hash's word."""
     bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {shift}) & 63 as int))")

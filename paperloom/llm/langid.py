@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, written
+from paperloom.llm.common import release, table, written
 
 #: Families of languages by their ISO 639-1 codes; any other language is its own family.
 FAMILIES = {
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel, language: str = "lang_pred",
                 part = batch.slice(start, 128)
                 got = model.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, language, score])
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 

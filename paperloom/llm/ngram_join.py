@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table, written
+from paperloom.llm.common import release, table, written
 from paperloom.llm.components import roots
 
 WIDTH = 5
@@ -203,6 +203,7 @@ def _classes(docs: DataFrame, counters: int, seed: int) -> tuple[DataFrame, Data
             counts += np.bincount(_counter(np.concatenate(sets), counters), minlength=counters)
             yield rows(part.column(0), [len(s) for s in sets], [class_of(s, seed) if len(s) else None for s in sets], [digest_of(s)[1] if len(s) else None for s in sets], [mark(s) if len(s) else None for s in sets], [None] * len(sets))
         yield rows(pa.array([None], pa.int64()), [None], [None], [None], [None], [counts.astype("<i8").tobytes()])
+        release()
 
     def rows(doc: pa.Array, *rest: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n", "cid", "check", "bitmap", "sketch"])
@@ -250,6 +251,8 @@ def _prefixes(docs: DataFrame, level: np.ndarray, hot: np.ndarray, seed: int) ->
                     sizes.append(np.where(hot[at[first]], -n, n).astype(np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names))], names=["key", "n", "cid"])
+        given.clear()
+        release()
 
     return docs.select("text").mapInArrow(run, "key long, n int, cid long")
 
@@ -424,6 +427,8 @@ def _similar(whole: bool):  # noqa: ANN202
                     k += 1
         if seen:
             yield _pairs(seen)
+        seen = set()
+        release()
 
     return run
 
@@ -487,6 +492,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: np.n
             part = part.filter(pa.array(wanted))
             sets = shingle_sets(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s, seed) if len(s) else None for s in sets], pa.int64()), pa.array([ordered(s, level).tobytes() for s in sets], pa.binary())], names=["rep", "cid", "grams"])
+        release()
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     sets = texts.mapInArrow(run, "rep long, cid long, grams binary").join(needed.hint("merge"), ["cid", "rep"]).select("cid", "grams")

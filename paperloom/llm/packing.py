@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import table
+from paperloom.llm.common import release, table
 from paperloom.llm.tokens import ByteBpe, closed, default_vocabulary, together
 
 CAPACITY = 2048
@@ -53,6 +53,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0,
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
