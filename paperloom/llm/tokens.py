@@ -25,7 +25,7 @@ SPACES = "\t-\r \x85\xa0  -     　"
 #: The pre-token pattern that belongs to the byte-level vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of texts that are encoded together; a longer text is alone.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 21
 #: Entries of the pieces' cache and of the pre-tokens' cache; either is emptied when full (that of ``encode_all``, which has no other, at twice as many).
 CACHE_ENTRIES = 500_000
 
