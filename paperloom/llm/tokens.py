@@ -27,7 +27,7 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Bytes of texts that are encoded together; a longer text is alone.
 TOGETHER = 1 << 21
 #: Entries of the pieces' cache and of the pre-tokens' cache; either is emptied when full (that of ``encode_all``, which has no other, at twice as many).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 _COARSE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _OPEN: dict[str, "ByteBpe"] = {}
