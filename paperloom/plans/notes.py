@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import contains_any_case, truncated, wire
 from paperloom.operators.notes import SLICE, gathered, tagged
-from paperloom.plans.model import comment_threads, complex_fields, controls, simple_fields
-from paperloom.plans.packages import attr, blocks, cells, changes, comments, hyperlinks, nodes, stories, targets
+from paperloom.plans.model import comment_threads, complex_fields, controls, equations, headings, sections, simple_fields
+from paperloom.plans.packages import attr, blocks, bookmarks, cells, changes, comments, hyperlinks, images, nodes, parts, rels, stories, tables, targets
 from paperloom.sources.tables import written
 
 KEY = ["doc_id", "part", "node_id"]
@@ -114,3 +116,55 @@ def merge_groups(rows: DataFrame) -> DataFrame:
     c = cells(rows).where("v_root is not null").select("doc_id", "v_root", "wire", "row")
     place = F.row_number().over(Window.partitionBy("doc_id", "v_root").orderBy("row")) - 1
     return c.select("doc_id", F.col("v_root").alias("root"), F.col("wire").alias("cell"), place.cast("long").alias("place"))
+
+
+#: The kinds of an outline in their order.
+OUTLINE = ["heading", "table", "section", "image", "bookmark", "content-control", "field", "hyperlink", "equation"]
+
+
+def outline(rows: DataFrame, most: int = 200) -> DataFrame:
+    """``doc_id, rank, kind, id, target, label, detail, status, repeats``: what a document holds, by kind in the order of ``OUTLINE`` and in document order within a kind.
+
+    ``id`` is the wire id, ``target`` what the element belongs to, ``status`` whether it can be
+    edited, made anew, or is whole, and ``repeats`` whether another of its kind has its name.
+    """
+    known = written(targets(rows), "targets")
+    at = lambda df: with_target(rows, df, known)
+    none = F.lit(None).cast("string")
+
+    def part(df: DataFrame, kind: str, id_: str, label: Column, detail: Column = none, status: Column = none, repeats: Column | None = None) -> DataFrame:
+        target = F.col("target") if "target" in df.columns else none
+        said = [truncated(label.cast("string"), most).alias("label"), detail.cast("string").alias("detail"), status.cast("string").alias("status"), (F.lit(False) if repeats is None else repeats).alias("repeats")]
+        return df.select("doc_id", F.lit(OUTLINE.index(kind)).alias("o"), F.lit(kind).alias("kind"), "story", F.col("node_id").alias("at"), F.col(id_).alias("id"), target.alias("target"), *said)
+
+    s, n = stories(rows), nodes(rows)
+    of = lambda df: df.join(s, ["doc_id", "part"])
+    table = blocks(rows).where("kind = 'table'").join(tables(rows).withColumnRenamed("table", "wire"), ["doc_id", "wire"])
+    section = known.join(s, ["doc_id", "part"]).where(F.col("wire").rlike(r"\.S[0-9]+$")).join(n.where("name = 'w:sectPr'").select(*KEY), KEY)
+    layout = sections(rows).join(n.where("name = 'w:sectPr'").where("up is null or up <> 'w:sectPrChange'").select(*KEY, F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("node_id")).cast("long").alias("ord")), ["doc_id", "part", "ord"])
+    section = section.join(layout.select(*KEY, "columns", "orientation"), KEY, "left")
+    placed = n.where("name = 'a:blip' and not in_del").select(*KEY, F.col("para_id"), attr("r:embed").alias("embed"))
+    image = images(rows).select("doc_id", "part", "ord", "media", "layout", "alt")
+    # Images are numbered as their placements that lead to a part are.
+    kept = placed.join(rels(rows).where("mode = 'Internal'").select("doc_id", F.col("source").alias("part"), F.col("rel_id").alias("embed"), F.col("target").alias("media")), ["doc_id", "part", "embed"]).join(parts(rows).select("doc_id", F.col("part").alias("media")), ["doc_id", "media"], "left_semi")
+    kept = kept.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("node_id")).cast("long")).select(*KEY, "ord")
+    image = with_id(rows, image.join(kept, ["doc_id", "part", "ord"]), "I")
+    mark = n.where("name = 'w:bookmarkStart'").where(F.btrim(attr("w:name")) != "").select(*KEY, attr("w:name").alias("bookmark"))
+    mark = mark.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("node_id")).cast("long")).join(bookmarks(rows).select("doc_id", "part", "ord", "complete"), ["doc_id", "part", "ord"])
+    mark = with_id(rows, mark, "B").withColumn("twice", F.count("*").over(Window.partitionBy("doc_id", "part", "bookmark")) > 1)
+    control, field, link = with_id(rows, controls(rows).withColumnRenamed("id", "own"), "CC"), with_id(rows, fields(rows), "F"), with_id(rows, hyperlinks(rows), "L")
+    math = of(equations(rows)).withColumn("id", F.concat("story", wire(".E", F.col("ord"))))
+    every = [
+        part(headings(rows), "heading", "wire", F.col("text"), F.col("level")),
+        part(table, "table", "wire", F.coalesce("caption", "description"), F.concat_ws("x", "rows", "columns"), F.when(F.col("has_merged"), "merged")),
+        part(section, "section", "wire", none, F.concat_ws(" ", "columns", "orientation")),
+        part(at(image), "image", "id", F.col("media"), F.col("layout"), F.col("alt")),
+        part(at(mark), "bookmark", "id", F.col("bookmark"), none, F.when(F.col("complete"), "complete").otherwise("open"), F.col("twice")),
+        part(at(control), "content-control", "id", F.coalesce("alias", "tag"), control["kind"], F.col("edit_status"), F.col("tag_repeats") | F.col("alias_repeats")),
+        part(at(field), "field", "id", F.col("code"), F.col("field"), F.col("refresh")),
+        part(at(link), "hyperlink", "id", F.coalesce("uri", "anchor"), none, F.when(F.col("broken"), "broken")),
+        part(at(math), "equation", "id", F.col("preview"), F.when(F.col("display"), "display").otherwise("inline")),
+    ]
+    story = F.when(F.col("story") == "M", 0).when(F.col("story").startswith("H"), 1).otherwise(2)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("o", story, "story", "at"))
+    return reduce(DataFrame.unionByName, every).withColumn("rank", rank.cast("long")).select("doc_id", "rank", "kind", "id", "target", "label", "detail", "status", "repeats")

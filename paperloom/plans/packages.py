@@ -202,15 +202,16 @@ def cells(rows: DataFrame) -> DataFrame:
 
 
 def tables(rows: DataFrame) -> DataFrame:
-    """Tables with rows, columns (of rows or of the declared grid, the greater) and flags."""
+    """Tables with rows, columns (of rows or of the declared grid, the greater), style, caption, description and flags."""
     n = nodes(rows)
     grid = n.where("name = 'w:gridCol' and up = 'w:tblGrid' and table_id = block_id").groupBy("doc_id", "part", "block_id").agg(F.count("*").alias("grid"))
-    style = n.where("name = 'w:tblStyle' and up = 'w:tblPr' and table_id = block_id").groupBy("doc_id", "part", "block_id").agg(F.min_by(attr("w:val"), "node_id").alias("style_id"))
+    of = lambda name: F.min_by(attr("w:val"), F.when(F.col("name") == name, F.col("node_id")))
+    style = n.where("up = 'w:tblPr' and table_id = block_id").groupBy("doc_id", "part", "block_id").agg(of("w:tblStyle").alias("style_id"), of("w:tblCaption").alias("caption"), of("w:tblDescription").alias("description"))
     r = table_rows(rows).groupBy("doc_id", "part", "block_id", "table").agg(F.count("*").alias("rows"), F.bool_or("is_header").alias("has_header"), F.bool_or((F.col("grid_before") > 0) | (F.col("grid_after") > 0)).alias("offset"))
     c = cells(rows).join(table_rows(rows).select("doc_id", "part", "block_id", "row", "grid_after"), ["doc_id", "part", "block_id", "row"]).groupBy("doc_id", "part", "block_id").agg(F.max(F.col("column_end") + F.col("grid_after")).alias("columns"), F.bool_or((F.col("span") > 1) | F.col("v_merge").isNotNull()).alias("merged"), F.bool_or("has_table").alias("has_nested"))
     both = r.join(c, ["doc_id", "part", "block_id"], "left").join(grid, ["doc_id", "part", "block_id"], "left").join(style, ["doc_id", "part", "block_id"], "left")
     no = F.lit(False)
-    return both.select("doc_id", "table", "rows", F.greatest(F.coalesce("columns", F.lit(0)), F.coalesce("grid", F.lit(0))).alias("columns"), "grid", "style_id", "has_header", (F.coalesce("merged", no) | F.col("offset")).alias("has_merged"), F.coalesce("has_nested", no).alias("has_nested"))
+    return both.select("doc_id", "table", "rows", F.greatest(F.coalesce("columns", F.lit(0)), F.coalesce("grid", F.lit(0))).alias("columns"), "grid", "style_id", "caption", "description", "has_header", (F.coalesce("merged", no) | F.col("offset")).alias("has_merged"), F.coalesce("has_nested", no).alias("has_nested"))
 
 
 def styles(rows: DataFrame) -> DataFrame:

@@ -213,6 +213,21 @@ def validate(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [rule(rows) for rule in RULES])
 
 
+def capped(violations: DataFrame, most: int = 500) -> DataFrame:
+    """``doc_id, place, code, part, target`` of at most ``most`` violations of each package, by code, part and target.
+
+    Where there are more, the last place tells how many were left out: E9199 if one of them is an
+    error, else W9199.  A package's violations are counted by a window, so none is gathered.
+    """
+    of, order = Window.partitionBy("doc_id"), ["code", "part", "target"]
+    ranked = violations.withColumns({"place": F.row_number().over(of.orderBy(*order)), "all": F.count("*").over(of), "worst": F.min(F.when(F.col("code").startswith("E"), "E").otherwise("W")).over(of.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    cap = max(1, most)
+    kept = ranked.where((F.col("all") <= cap) | (F.col("place") <= cap))
+    last = (F.col("all") > cap) & (F.col("place") == cap)
+    left = F.concat((F.col("all") - cap + 1).cast("string"), F.lit(" of "), F.col("all").cast("string"))
+    return kept.select("doc_id", F.col("place").cast("long").alias("place"), F.when(last, F.concat("worst", F.lit("9199"))).otherwise(F.col("code")).alias("code"), F.when(~last, F.col("part")).alias("part"), F.when(last, left).otherwise(F.col("target")).alias("target"))
+
+
 def new_violations(after: DataFrame, before: DataFrame) -> DataFrame:
     """What ``after`` violates more often than ``before``, as multisets."""
     return after.exceptAll(before)

@@ -134,3 +134,50 @@ def test_chains_of_any_length_and_circles(spark):
             want.add((node, at, steps))
     got = ancestors(spark.createDataFrame(list(up.items()), "child string, parent string")).collect()
     assert {(r["node"], r["ancestor"], r["steps"]) for r in got} == want and len(got) == len(want)
+
+
+def test_controls(spark):
+    list_ = lambda tag, items: f"<w:{tag}>{''.join(f'<w:listItem w:displayText={chr(39)}{d}{chr(39)} w:value={chr(39)}{v}{chr(39)}/>' for d, v in items)}</w:{tag}>"
+    sdt = lambda inner, content="": f"<w:sdt><w:sdtPr>{inner}</w:sdtPr><w:sdtContent>{content}</w:sdtContent></w:sdt>"
+    item = sdt("<w15:repeatingSectionItem/>")
+    body = "<w:p>" + "".join([
+        sdt("<w:id w:val='7'/><w:tag w:val='t'/><w:text/><w:dataBinding w:xpath='/a' w:storeItemID='{1}' w:prefixMappings='x'/><w:showingPlcHdr/><w:placeholder><w:docPart w:val='ph'/></w:placeholder>"),
+        sdt("<w:tag w:val='t'/><w:alias w:val='a'/><w:lock/>" + list_("dropDownList", [("A", "1"), ("B", "2")])),
+        sdt("<w:lock w:val='unlocked'/>" + list_("comboBox", [("C", "3")])), sdt("<w:lock w:val='sdtLocked'/><w:checkBox><w:checked w:val='1'/></w:checkBox>"),
+        sdt("<w:checkBox><w:checked/></w:checkBox>"), sdt("<w:date w:fullDate='2024-01-02'><w:dateFormat w:val='yyyy'/></w:date>"), sdt("<w:picture/><w:text/>"),
+        sdt("<w15:repeatingSection w15:sectionTitle='rows'/>", item + item + sdt("<w:text/>", item)), "<w:sdt/>",
+    ]) + "</w:p>"
+    got = M.controls(made(spark, body)).orderBy("node_id").collect()
+    assert [(r.kind, r.edit_status) for r in got if r.parent is None] == [("plain-text", "plain-text"), ("dropdown-list", "locked"), ("combo-box", "choice"), ("checkbox", "locked"), ("checkbox", "checkbox"), ("date", "date"), ("picture", "unsupported-picture"), ("repeating-section", "unsupported-repeating-section"), ("rich-text", "rich-text")]
+    one, two = got[:2]
+    assert (one.id, one.tag, one.xpath, one.store, one.prefixes, one.placeholder, one.shows_placeholder, one.tag_repeats, one.items) == ("7", "t", "/a", "{1}", "x", "ph", True, True, [])
+    assert (two.alias, two.lock, two.alias_repeats, [tuple(i) for i in two.items]) == ("a", "locked", False, [("A", "1"), ("B", "2")])
+    assert [tuple(i) for i in got[2].items] == [("C", "3")] and [r.checked for r in got[3:5]] == [True, None] and (got[5].date, got[5].date_format) == ("2024-01-02", "yyyy")
+    section = next(r for r in got if r.kind == "repeating-section")
+    assert (section.section_title, section.section_items) == ("rows", 2) and sum(r.parent == section.node_id for r in got) == 3
+
+
+def test_outline(spark):
+    body = (
+        "<w:p><w:pPr><w:outlineLvl w:val='0'/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p>" + "<w:tbl><w:tblPr><w:tblCaption w:val='cap'/></w:tblPr><w:tr><w:tc>" + p("x") + "</w:tc><w:tc/></w:tr></w:tbl>"
+        + "<w:p><w:bookmarkStart w:id='1' w:name='m'/><w:bookmarkEnd w:id='1'/><w:bookmarkStart w:id='2' w:name='m'/><w:sdt><w:sdtPr><w:alias w:val='al'/></w:sdtPr></w:sdt><w:fldSimple w:instr='PAGE'/><w:hyperlink r:id='none'/><w:del><m:oMath/></w:del><m:oMath><m:r><m:t>e</m:t></m:r></m:oMath>"
+        + "<w:r><w:drawing><wp:inline><a:blip r:embed='rId5'/></wp:inline></w:drawing></w:r></w:p><w:sectPr/>"
+    )
+    rows = made(spark, body, {"word/a.png": b"x"}, f'<Relationship Id="rId5" Type="{REL}/image" Target="a.png"/>')
+    got = [(r.kind, r.id, r.target, r.label, r.detail, r.status, r.repeats) for r in A.outline(rows).orderBy("rank").collect()]
+    assert got == [
+        ("heading", "M.P0001", None, "Head", "1", None, False), ("table", "M.T0001", None, "cap", "1x2", None, False), ("section", "M.S0001", None, None, "1 portrait", None, False), ("image", "M.I0001", "M.P0002", "/word/a.png", "inline", None, False),
+        ("bookmark", "M.B0001", "M.P0002", "m", None, "complete", True), ("bookmark", "M.B0002", "M.P0002", "m", None, "open", True), ("content-control", "M.CC0001", "M.P0002", "al", "rich-text", "rich-text", False),
+        ("field", "M.F0001", "M.P0002", "PAGE", "PAGE", "word-layout", False), ("hyperlink", "M.L0001", "M.P0002", None, None, "broken", False), ("equation", "M.E0002", "M.P0002", "e", "inline", None, False),
+    ]
+
+
+def test_violations_are_capped_for_each_package(spark):
+    from paperloom.plans.rules import capped
+
+    many = [(1, f"W910{k}", "/p", str(k)) for k in range(5)] + [(2, "E9105", "/p", "a"), (2, "W9116", "/p", "b"), (2, "W9117", "/p", "c"), (2, "W9117", "/p", "c"), (3, "E9101", None, None)]
+    got = {}
+    for r in capped(spark.createDataFrame(many, "doc_id long, code string, part string, target string"), 3).orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append((r.code, r.target))
+    assert got == {1: [("W9100", "0"), ("W9101", "1"), ("W9199", "3 of 5")], 2: [("E9105", "a"), ("W9116", "b"), ("W9199", "2 of 4")], 3: [("E9101", None)]}
+    assert [r.code for r in capped(spark.createDataFrame(many, "doc_id long, code string, part string, target string"), 0).where("doc_id = 2").collect()] == ["E9199"]
