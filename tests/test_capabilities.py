@@ -17,7 +17,14 @@ def story(rng):
     formats = ["", "<w:rPr><w:b/></w:rPr>", "<w:rPr><w:b w:val='1' w:x='2'/></w:rPr>", "<w:rPr><w:b w:x='2' w:val='1'/></w:rPr>", "<w:rPr/>"]
     run = lambda: f"<w:r>{rng.choice(formats[: rng.choice([1, 5])])}{rng.choice(['<w:t>a</w:t>', '<w:t>b</w:t>', '<w:tab/>', '<w:sym/>', ''])}</w:r>"
     para = lambda: "<w:p>" + ("<w:pPr><w:sectPr/></w:pPr>" if rng.random() < 0.1 else "") + "".join(content(rng) if rng.random() < 0.15 else run() for _ in range(rng.randint(0, 3))) + "</w:p>"
-    return "".join(para() for _ in range(10))
+    paras = [para() for _ in range(10)]
+    field = "<w:r><w:fldChar w:fldCharType='{}'/></w:r>"
+    pairs = [("<w:bookmarkStart w:id='x'/>", "<w:bookmarkEnd w:id='x'/>"), ("<w:commentRangeStart w:id='y'/>", "<w:commentRangeEnd w:id='y'/>"), (field.format("begin"), field.format("end"))]
+    for start, end in rng.sample(pairs, rng.randint(0, 3)):  # ends in one paragraph, or in two
+        a, b = sorted(rng.choices(range(10), k=2))
+        paras[b] = paras[b].removesuffix("</w:p>") + end + "</w:p>"
+        paras[a] = "<w:p>" + start + paras[a].removeprefix("<w:p>")
+    return "".join(paras)
 
 
 def reading(markup, mode):
