@@ -3,10 +3,18 @@
 Pieces lie end to end, so running sums of their lengths place them, and one sweep over the ends
 of pieces and matches, in the order of places, cuts both against each other: its work is linear
 in pieces and matches, where comparing each match with each piece would not be.
+
+Where the pieces are a text's own words they stand in one row already: ``text_places`` counts them
+there, with Arrow, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +65,78 @@ def crossings(pieces: DataFrame, found: DataFrame, key: list[str], columns: list
     return cut.unionByName(inside)
 
 
-def words(t: Tables) -> DataFrame:
-    """The words of each text as pieces, each with the blank after it."""
-    each = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "word"), F.size(F.split("text", " ")).alias("n"))
-    return each.select("doc_id", F.col("k").cast("long").alias("k"), F.when(F.col("k") + 1 < F.col("n"), F.concat("word", F.lit(" "))).otherwise(F.col("word")).alias("text"))
+#: Bytes of texts that are cut together; a longer text is alone.  Rows of a batch that comes of it.
+TOGETHER, ROWS = 1 << 21, 1 << 16
+
+
+def _together(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``first, stop, raw, bounds``: runs of texts (none is null) with their bytes and where each begins in them, and the end."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    every, at = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8), 0
+    while at < len(texts):
+        stop = max(int(np.searchsorted(bounds, bounds[at] + TOGETHER, side="right")) - 1, at + 1)
+        yield at, stop, every[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at]
+        at = stop
+
+
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``text, k, start, stop`` of each word with the blank after it, in bytes of ``raw``; an empty text, and what follows a last blank, is a word without length."""
+    blanks = np.flatnonzero(raw == 0x20)
+    n = np.diff(np.searchsorted(blanks, bounds)) + 1
+    last = np.cumsum(n) - 1
+    stop, inner = np.empty(n.sum(), dtype=np.int64), np.ones(n.sum(), dtype=bool)
+    inner[last] = False
+    stop[inner], stop[last] = blanks + 1, bounds[1:]
+    start = np.concatenate([[0], stop[:-1]])  # texts lie end to end as well
+    return np.repeat(np.arange(len(n)), n), np.arange(len(stop)) - np.repeat(last + 1 - n, n), start, stop
+
+
+def _characters(raw: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """How many characters begin before a place in UTF-8."""
+    begins = (raw & 0xC0) != 0x80
+    if begins.all():
+        return lambda at: at
+    before = np.concatenate([[0], np.cumsum(begins)])
+    return lambda at: before[at]
+
+
+def text_places(texts: DataFrame, key: str, text: str = "text", literal: str | None = None) -> DataFrame:
+    """``key, k, start, stop`` of the words of each row's text, each with the blank after it; with ``literal``, as ``crossings``, ``key, nth, k, a, b`` of what its matches cover of them.
+
+    Every row is a text of its own, and a null one has none.  The work is linear in the texts.
+    """
+    names = ["k", "start", "stop"] if literal is None else ["nth", "k", "a", "b"]
+    pattern = None if literal is None else re.compile(re.escape(literal.encode()))
+
+    def places(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        of, k, start, stop = _words(raw, bounds)
+        chars = _characters(raw)
+        if pattern is None:
+            base = chars(bounds)[of]
+            return [of, k, chars(start) - base, chars(stop) - base]
+        whole = raw.tobytes()
+        found = [[m.start() for m in pattern.finditer(whole, a, b)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        begin = np.fromiter((x for f in found for x in f), np.int64, n.sum())
+        end, nth = begin + len(literal.encode()), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        first = np.searchsorted(stop, begin, side="right")
+        each = np.searchsorted(start, end, side="left") - first
+        match = np.repeat(np.arange(len(begin)), each)
+        piece = first[match] + np.arange(len(match)) - (np.cumsum(each) - each)[match]
+        base = chars(start[piece])
+        return [of[piece], nth[match], k[piece], chars(np.maximum(begin[match], start[piece])) - base, chars(np.minimum(end[match], stop[piece])) - base]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, raw, bounds in _together(batch.column(1)):
+                of, *values = places(raw, bounds)
+                for at in range(0, len(of), ROWS):
+                    rows = slice(at, at + ROWS)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + of[rows])), *(pa.array(v[rows], pa.int64()) for v in values)], names=[key, *names])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in names))
 
 
 WORDS = """w AS (SELECT doc_id, k - 1 AS k, string_split(text, ' ')[k] || CASE WHEN k < len(string_split(text, ' ')) THEN ' ' ELSE '' END AS text FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(k)),
@@ -70,7 +146,7 @@ o AS (SELECT doc_id, k, text, CAST(sum(length(text)) OVER (PARTITION BY doc_id O
 @query(f"WITH {WORDS} SELECT doc_id, k, stop - length(text) AS start, stop FROM o")
 def text_offsets(t: Tables) -> DataFrame:
     """Where each piece of a text begins and ends in it."""
-    return offsets(words(t), ["doc_id"], ["k"]).select("doc_id", "k", "start", "stop")
+    return text_places(t.documents, "doc_id")
 
 
 @query(f"""
@@ -80,6 +156,4 @@ m AS (SELECT doc_id, k AS nth, n, CAST(sum(length(part)) OVER (PARTITION BY doc_
 SELECT m.doc_id, nth, k, greatest(m.start, o.stop - length(text)) - (o.stop - length(text)) AS a, least(m.start + 3, o.stop) - (o.stop - length(text)) AS b FROM m JOIN o ON m.doc_id = o.doc_id AND m.start < o.stop AND o.stop - length(text) < m.start + 3""")
 def match_crossings(t: Tables) -> DataFrame:
     """What each match of a literal covers of the pieces that it crosses."""
-    pieces = offsets(words(t), ["doc_id"], ["k"])
-    found = matches(t.documents.select("doc_id", "text"), ["doc_id"], "e t")
-    return crossings(pieces, found, ["doc_id"], ["k"]).select("doc_id", "nth", "k", "a", "b")
+    return text_places(t.documents.where("doc_id is not null"), "doc_id", literal="e t")
