@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import nth_replaced, occurrences
 from paperloom.operators.reading import BLOCKS
 from paperloom.operators.registry import Tables, query
-from paperloom.operators.windows import LINES, ordered_lines
+from paperloom.operators.windows import LINES, in_order, ordered_lines
 from paperloom.plans import blocks
 
 
@@ -48,5 +48,5 @@ def delete_row(t: Tables) -> DataFrame:
     """Returned rows deleted, the others counted anew; a table may not lose its last row (E4304), so it stays as it is."""
     stay = F.count_if(F.col("l_returnflag") != "R").over(Window.partitionBy("l_orderkey"))
     rows = ordered_lines(t).withColumn("stay", stay).where((F.col("l_returnflag") != "R") | (F.col("stay") == 0))
-    final = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("ord")).cast("long")
+    final = F.row_number().over(in_order()).cast("long")
     return rows.select("l_orderkey", F.col("ord").alias("input_ord"), final.alias("final_ord"), F.when(F.col("stay") == 0, "E4304").otherwise("ok").alias("code"))

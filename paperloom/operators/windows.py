@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paperloom.functions import occurrences
@@ -13,8 +13,13 @@ from paperloom.plans import blocks
 LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem)"
 
 
+def in_order() -> WindowSpec:
+    """An order's lines in the order of ``ord``; windows take it also where ``ord`` would do, so that one sort serves them all."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+
+
 def ordered_lines(t: Tables) -> DataFrame:
-    return t.lineitem.withColumn("ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
+    return t.lineitem.withColumn("ord", F.row_number().over(in_order()).cast("long"))
 
 
 @query(f"SELECT l_orderkey, ord, l_partkey FROM {LINES}")
@@ -25,12 +30,15 @@ def ordinals(t: Tables) -> DataFrame:
 
 @query(f"SELECT a.l_orderkey, a.ord AS target, b.ord AS neighbour, CASE WHEN b.ord < a.ord THEN 'before' WHEN b.ord = a.ord THEN 'target' ELSE 'after' END AS relation, b.l_partkey FROM {LINES} a JOIN {LINES} b ON a.l_orderkey = b.l_orderkey AND b.ord BETWEEN a.ord - 1 AND a.ord + 1 WHERE a.l_returnflag = 'R'")
 def context_radius(t: Tables) -> DataFrame:
-    """The neighbours within a radius of each target, in one pass over the story: no join is needed."""
-    w = Window.partitionBy("l_orderkey").orderBy("ord").rowsBetween(-1, 1)
-    near = ordered_lines(t).withColumn("near", F.collect_list(F.struct("ord", "l_partkey")).over(w)).where("l_returnflag = 'R'")
-    rows = near.select("l_orderkey", F.col("ord").alias("target"), F.explode("near").alias("n"))
-    relation = F.when(F.col("n.ord") < F.col("target"), "before").when(F.col("n.ord") == F.col("target"), "target").otherwise("after")
-    return rows.select("l_orderkey", "target", F.col("n.ord").alias("neighbour"), relation.alias("relation"), "n.l_partkey")
+    """The neighbours of each target, in the one pass over the story that numbers it: no join is needed, and no second sort."""
+    w = in_order()
+    at = F.row_number().over(w).cast("long")
+    lines = t.lineitem.where("l_orderkey is not null").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("asked"))
+    near = lines.select("l_orderkey", "asked", at.alias("target"), F.lag("l_partkey").over(w).alias("before"), "l_partkey", F.lead("l_partkey").over(w).alias("after"), F.lead("l_orderkey").over(w).isNotNull().alias("more")).where("asked")
+    side = lambda relation, step, part: F.struct(F.lit(relation).alias("relation"), (F.col("target") + step).alias("neighbour"), F.col(part).alias("l_partkey"))
+    each = F.array(F.when(F.col("target") > 1, side("before", -1, "before")), side("target", 0, "l_partkey"), F.when(F.col("more"), side("after", 1, "after")))
+    rows = near.select("l_orderkey", "target", F.explode(each).alias("n")).where("n is not null")
+    return rows.select("l_orderkey", "target", "n.neighbour", "n.relation", "n.l_partkey")
 
 
 @query(f"SELECT o_orderkey, CAST(0 AS BIGINT) AS ord, 'parent' AS relation, o_custkey AS ref FROM orders UNION ALL SELECT l_orderkey, ord, 'child', l_partkey FROM {LINES} WHERE ord <= 3")
@@ -43,7 +51,7 @@ def row_context(t: Tables) -> DataFrame:
 @query(f"SELECT l_orderkey, ord, span, 1 + coalesce(CAST(sum(span) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS visual_column FROM (SELECT *, 1 + CAST(l_quantity AS BIGINT) % 3 AS span FROM {LINES})")
 def visual_columns(t: Tables) -> DataFrame:
     """A cell's visual column is one more than the spans before it."""
-    w = Window.partitionBy("l_orderkey").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    w = in_order().rowsBetween(Window.unboundedPreceding, -1)
     cells = ordered_lines(t).withColumn("span", 1 + F.col("l_quantity").cast("long") % 3)
     return cells.select("l_orderkey", "ord", "span", (1 + F.coalesce(F.sum("span").over(w), F.lit(0))).alias("visual_column"))
 
