@@ -14,26 +14,31 @@ SLICE = 10_000
 
 
 def tagged(rows: DataFrame, target: Column | str, place: Column | str, key: list[str], **values: Column | str) -> DataFrame:
-    """``key, target, place, kind, value``: a row for each of ``values``, by kind, that is not blank; rows without a target say nothing about any.
+    """``key, target, place`` and a column for each of ``values``, by kind, null where it is blank; rows without a target or a value say nothing about any.
 
     ``place`` orders annotations of a kind, and is where the annotating row stands, so that what a
     target is told from far apart need not meet in one row.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), col(v).cast("string").alias("value")) for kind, v in values.items()])
-    each = rows.select(*key, col(target).cast("string").alias("target"), col(place).cast("long").alias("place"), F.explode(pairs).alias("p"))
-    return each.select(*key, "target", "place", "p.kind", "p.value").where((F.btrim("target") != "") & (F.btrim("value") != ""))
+    told = lambda c: F.when(F.btrim(c) != "", c)
+    each = rows.select(*key, col(target).cast("string").alias("target"), col(place).cast("long").alias("place"), *[told(col(v).cast("string")).alias(kind) for kind, v in values.items()])
+    return each.where((F.btrim("target") != "") & F.coalesce(*[F.col(f"`{kind}`") for kind in values]).isNotNull())
 
 
 def gathered(parts: list[DataFrame], key: list[str], kinds: list[str], size: int = SLICE) -> DataFrame:
     """``key, target, slice`` and an array for each kind: its distinct values in the order of their first places, then of the values.
 
-    All parts are one union that is exchanged once, by target and slice.  A target is one row
-    unless its annotations stand further apart than ``size`` places; values are distinct in a row.
+    All parts are one union whose rows, a row for all that it says, are exchanged once, by target
+    and slice, before they are grouped: what is shuffled are plain rows, not collections.  A target
+    is one row unless its annotations stand further apart than ``size`` places; values are distinct in a row.
     """
-    every = reduce(DataFrame.unionByName, parts).withColumn("slice", F.floor(F.col("place") / size))
-    of = lambda kind: F.array_distinct(F.transform(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.struct("place", "value")))), lambda x: x["value"]))
-    return every.groupBy(*key, "target", "slice").agg(*[of(kind).alias(kind) for kind in kinds])
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("slice", F.floor(F.col("place") / size))
+    some = [k for k in kinds if k in every.columns]
+    dealt = every.select(*key, "target", "slice", "place", *some).repartition(*key, "target", "slice")
+    told = dealt.groupBy(*key, "target", "slice").agg(F.collect_set(F.struct("place", *some)).alias("__told"))
+    none = F.array().cast("array<string>")
+    of = lambda kind: F.array_distinct(F.transform(F.array_sort(F.transform(F.filter("__told", lambda x: x[kind].isNotNull()), lambda x: F.struct(x["place"].alias("place"), x[kind].alias("value")))), lambda x: x["value"]))
+    return told.select(*key, "target", "slice", *[(of(kind) if kind in some else none).alias(kind) for kind in kinds])
 
 
 ORDER_KINDS = ["parts", "suppliers", "flags", "status", "customer", "priority"]
