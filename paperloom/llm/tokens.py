@@ -28,6 +28,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 TOGETHER = 1 << 21
 #: Entries of the pieces' cache and of the pre-tokens' cache; either is emptied when full (that of ``encode_all``, which has no other, at twice as many).
 CACHE_ENTRIES = 200_000
+#: New words whose bytes become letters together.
+AT_ONCE = 1 << 14
 
 _COARSE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _OPEN: dict[str, "ByteBpe"] = {}
@@ -61,6 +63,7 @@ class ByteBpe:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.fine = regex.compile(PRE_TOKEN)
         self.letters = _byte_letters()
+        self.shown = np.array([ord(self.letters[b]) for b in range(256)], dtype="<u2")
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -118,10 +121,17 @@ class ByteBpe:
         offsets = offsets - offsets[0]
         starts = pre_tokens(raw, offsets)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        index, known = pieces.indices.to_numpy(zero_copy_only=False), self.words
+        index, known, words = pieces.indices.to_numpy(zero_copy_only=False), self.words, pieces.dictionary.to_pylist()
         if len(known) >= 2 * CACHE_ENTRIES:
             known.clear()
-        each = [known.get(w) or self._bytes(w) for w in pieces.dictionary.to_pylist()]
+        each = list(map(known.get, words))
+        new = [k for k, ids in enumerate(each) if ids is None]
+        for at in range(0, len(new), AT_ONCE):
+            some = [words[k] for k in new[at : at + AT_ONCE]]
+            for k, word, ids in zip(new[at : at + AT_ONCE], some, self._each(some), strict=True):
+                each[k] = ids
+                if len(word) <= 64:
+                    known[word] = ids
         length = np.fromiter(map(len, each), np.int64, len(each)) // 2
         flat = np.frombuffer(b"".join(each), dtype=np.uint16)
         n = length[index]
@@ -136,11 +146,16 @@ class ByteBpe:
         parts = [np.frombuffer(self.encode(texts[k].as_py().decode()), dtype=np.uint16) if odd[k] else ids[a:b] for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))]
         return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
 
-    def _bytes(self, word: bytes) -> bytes:
-        got = array("H", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
-        if len(word) <= 64:
-            self.words[word] = got
-        return got
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.pieces.clear()
+        self.words.clear()
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of ``words``, whose bytes become letters together."""
+        stops = np.cumsum([len(w) for w in words]).tolist()
+        shown, merge = self.shown[np.frombuffer(b"".join(words), dtype=np.uint8)].tobytes().decode("utf-16-le"), self.model.tokenize
+        return [array("H", [t.id for t in merge(shown[a:b])]).tobytes() for a, b in zip([0, *stops], stops, strict=False)]
 
 
 _KINDS: list[np.ndarray] = []
