@@ -53,6 +53,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0,
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        bpe.forget()  # the worker lives on beside the work of later stages
         release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
