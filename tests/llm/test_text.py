@@ -345,3 +345,37 @@ def test_mixing_meets_limits(documents):
     assert tokens["big"] == 9000 and tokens.drop("big").max() <= 3 * 250
     assert mixing.mix(documents([])).count() == 0
     assert mixing.mix(documents([(1, None), (2, "")])).count() == 2
+
+
+def test_trees_are_learned_from_all_documents(documents, spark):
+    """All that there is to learn is in documents whose hashes are high, where a sample of 8,000 by hash has none."""
+    random.seed(9)
+    docs = spark.range(14_000).selectExpr("id as doc_id", "if(pmod(xxhash64(id), 1L << 30) > 0.7 * (1L << 30), concat('river stone write to ann', id, '@mail', id % 7, '.example.com or 10.0.', id % 256, '.7 garden window'), null) as text")
+    model = pii.fit(docs)
+    text = "stone garden jane (at) example (dot) com window"
+    assert [(k, text[a:b]) for k, a, b in model.added(text, [])] == [("email", "jane (at) example (dot) com")]
+
+
+def test_the_fit_equals_one_in_memory(documents, monkeypatch):
+    """Every candidate of every document counts, also of one with very many; sums by Spark and by the driver are the same."""
+    docs = documents([(i, f"call +44 20 7946 {i:04} or mail a{i}@b{i % 9}.org, host 10.0.{i % 256}.255, see {i}. {i + 1}. 3. 4 and 1234 5678 {i:04} 1111") for i in range(300)] + [(999, "".join(f"at 10.0.0.{i % 256} ip 10 . 0 . 300 . {i} or 00 44 20 7946 {i:04}\n" for i in range(400))), (1000, None), (None, "x@y.de")])
+    rows = []
+    for r in docs.select(F.xxhash64("doc_id").alias("draw"), "text").collect():
+        for place in pii._places(r["text"] or "", r["draw"]) if r["text"] else ():
+            rows += [(r["draw"] % 4 == 0, *row) for row in pii._learned(*place)]
+    held, good, free = (np.array([r[k] for r in rows]) for k in range(3))
+    x = np.array([r[3] for r in rows], dtype=float)
+    assert sum(r["n"] for r in pii.learned(docs).collect()) == len(rows)
+    veiled = x[~held].copy()
+    veiled[:, pii.HIDDEN] = -1
+    trees = pii.boost(np.concatenate([x[~held], veiled]), np.tile(good[~held].astype(float), 2))
+    model = pii.fit(docs)
+    assert np.allclose(model.trees.score(x), trees.score(x), rtol=0, atol=1e-9)
+    p = np.where(x[:, pii.FEATURES.index("check")] == 1, model.trees.score(x), 0.0)
+    for k, kind in enumerate(pii.KINDS):
+        some = held & free & (x[:, 0] == k)
+        passing = [q for q in set(p[some]) if good[some & (p >= q)].mean() >= pii.PRECISION]
+        assert model.threshold[kind] == pytest.approx(max(0.5, min(passing)) if passing else 2.0)
+    monkeypatch.setattr(pii, "HERE", 0)
+    again = pii.fit(docs)
+    assert again.threshold == model.threshold and (again.trees.score(x) == model.trees.score(x)).all()
